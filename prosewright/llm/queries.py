@@ -1,11 +1,14 @@
 """The registered queries of this subpackage and their DuckDB twins."""
 
-from prosewright.llm import exact_dedup
+from prosewright.llm import bpe, exact_dedup, near_dedup
 
 QUERIES = {
     "op5_exact_dedup_bloom": exact_dedup.op5_exact_dedup_bloom,
+    "op8_near_dedup_chosen_path": near_dedup.op8_near_dedup_chosen_path,
+    "op10_bpe_speculate_verify": bpe.op10_bpe_speculate_verify,
 }
 
 ORACLE_SQL = {
     "op5_exact_dedup_bloom": exact_dedup.ORACLE_SQL,
+    "op8_near_dedup_chosen_path": near_dedup.ORACLE_SQL,
 }

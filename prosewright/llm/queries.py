@@ -1,10 +1,11 @@
 """The registered queries of this subpackage and their DuckDB twins."""
 
-from prosewright.llm import bpe, exact_dedup, near_dedup
+from prosewright.llm import bpe, exact_dedup, near_dedup, outliers
 
 QUERIES = {
     "op5_exact_dedup_bloom": exact_dedup.op5_exact_dedup_bloom,
     "op8_near_dedup_chosen_path": near_dedup.op8_near_dedup_chosen_path,
+    "op9_quality_mcd_outliers": outliers.op9_quality_mcd_outliers,
     "op10_bpe_speculate_verify": bpe.op10_bpe_speculate_verify,
 }
 

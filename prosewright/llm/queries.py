@@ -1,9 +1,10 @@
 """The registered queries of this subpackage and their DuckDB twins."""
 
-from prosewright.llm import bpe, exact_dedup, near_dedup, outliers
+from prosewright.llm import archive, bpe, exact_dedup, near_dedup, outliers
 
 QUERIES = {
     "op5_exact_dedup_bloom": exact_dedup.op5_exact_dedup_bloom,
+    "op6_warc_from_arc": archive.op6_warc_from_arc,
     "op8_near_dedup_chosen_path": near_dedup.op8_near_dedup_chosen_path,
     "op9_quality_mcd_outliers": outliers.op9_quality_mcd_outliers,
     "op10_bpe_speculate_verify": bpe.op10_bpe_speculate_verify,
@@ -11,5 +12,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op5_exact_dedup_bloom": exact_dedup.ORACLE_SQL,
+    "op6_warc_from_arc": archive.ORACLE_SQL,
     "op8_near_dedup_chosen_path": near_dedup.ORACLE_SQL,
 }

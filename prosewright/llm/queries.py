@@ -1,8 +1,9 @@
 """The registered queries of this subpackage and their DuckDB twins."""
 
-from prosewright.llm import archive, bpe, exact_dedup, near_dedup, outliers
+from prosewright.llm import archive, bpe, exact_dedup, near_dedup, outliers, quality
 
 QUERIES = {
+    "op2_quality_attention_mil": quality.op2_quality_attention_mil,
     "op5_exact_dedup_bloom": exact_dedup.op5_exact_dedup_bloom,
     "op6_warc_from_arc": archive.op6_warc_from_arc,
     "op8_near_dedup_chosen_path": near_dedup.op8_near_dedup_chosen_path,

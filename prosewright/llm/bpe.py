@@ -256,11 +256,12 @@ def small(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, i
         yield start, len(texts)
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, outputs: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, with outputs, the ids (array) and decoded (string)."""
+def encode_documents(docs: DataFrame, path: str | None = None, outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the outputs asked for: ids (array) and decoded (string)."""
     path = path or tokenizer_path(TOKENIZER)
-    fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-    fields += [("ids", pa.list_(pa.int32())), ("decoded", pa.string())] if outputs else []
+    more = {"ids": "array<int>", "decoded": "string"}
+    more = {k: more[k] for k in more if k in outputs}
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, sha = encoder(path), hashlib.sha256
@@ -269,14 +270,16 @@ def encode_documents(docs: DataFrame, path: str | None = None, outputs: bool = T
             for a, b in small(texts):
                 got = list(bpe.encode(texts[a:b]))
                 cols = [batch.column("doc_id").slice(a, b - a), pa.array([len(i) // 4 for i, _ in got], pa.int64()), pa.array([sha(i).hexdigest() for i, _ in got]), pa.array([sha(d).hexdigest() for _, d in got])]
-                if outputs:
-                    cols += [pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i, _ in got], pa.list_(pa.int32())), pa.array([d.decode("utf-8", "surrogatepass") for _, d in got])]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", *(n for n, _ in fields)])
+                if "ids" in outputs:
+                    cols.append(pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i, _ in got], pa.list_(pa.int32())))
+                if "decoded" in outputs:
+                    cols.append(pa.array([d.decode("utf-8", "surrogatepass") for _, d in got]))
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     kind = dict(docs.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if outputs else "")
+    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + "".join(f", {k} {v}" for k, v in more.items())
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def op10_bpe_speculate_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(documents(spark, sf_dir), outputs=False)
+    return encode_documents(documents(spark, sf_dir), outputs=())

@@ -2,21 +2,38 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prosewright.llm import exact_dedup
+from prosewright.llm import bpe, exact_dedup, mixing, near_dedup, quality
 from prosewright.llm.common import Scratch, documents
 
 
+def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.kept_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.kept_documents(docs)
 
 
-STAGES = [("exact dedup", _exact)]
+def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.kept_documents(docs)
+
+
+def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.kept_documents(docs)
+
+
+def _encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(docs, outputs=("ids",))
+
+
+STAGES = [("quality classifier", _quality), ("exact dedup", _exact), ("near dedup", _near), ("mixing", _mix), ("bpe encoding", _encode)]
 
 #: SQL cannot express the stages that learn or draw; tests/llm compares each with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The encoded rows of all stages; a document that the mix reads twice is there twice."""
     scratch = Scratch(spark, "pipeline")
     docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):

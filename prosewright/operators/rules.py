@@ -94,7 +94,7 @@ class Rule:
 
 def accepted(pattern: str) -> bool:
     """Whether a pattern stays within the regular dialect: no look-around, back-reference, atomic or possessive part."""
-    bare = re.sub(r"\\\\|\[(?:\\.|[^\]\\])*\]", "x", pattern)
+    bare = re.sub(r"\\\\|\\[pPx]\{\^?\w+\}|\[(?:\\.|[^\]\\])*\]", "x", pattern)
     if re.search(r"\(\?(?:[=!>]|<[=!])|\\[1-9]|\\k<|[*+?}]\+", bare):
         return False
     try:

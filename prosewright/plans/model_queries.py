@@ -179,7 +179,8 @@ def grammar_only(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{FIXABLE}, fx AS (SELECT * FROM gram WHERE len(list_filter(suggestions, lambda x: x <> text)) > 0)
-SELECT doc_id, count(*)::INT AS n_fixes FROM fx WHERE NOT EXISTS (SELECT 1 FROM fx h WHERE h.doc_id = fx.doc_id AND h.s < fx.s AND h.e > fx.s) GROUP BY 1""")
+SELECT doc_id, list_reduce(list_prepend({{'s': 0::BIGINT, 'e': 0::BIGINT, 'n': 0}}, list({{'s': s, 'e': e, 'n': 1}} ORDER BY s, e)),
+lambda a, x: CASE WHEN x.s >= a.e THEN {{'s': x.s, 'e': x.e, 'n': a.n + 1}} ELSE a END).n AS n_fixes FROM fx GROUP BY 1""")
 def fix_all(spark: SparkSession, d: str) -> DataFrame:
     """PRJ-17: fixes that apply in each document, greedily without overlap"""
     return cascade.fixed_texts(documents(spark, d), grammar_only(spark, d)).select("doc_id", "n_fixes")
@@ -272,7 +273,7 @@ TAGS = ["$KEEP", "$DELETE", "$APPEND_x", "$REPLACE_y", "$TRANSFORM_CASE_CAPITAL"
 w AS (SELECT doc_id, unnest(ps) AS word, generate_subscripts(ps, 1) - 1 AS word_idx FROM p),
 m AS (SELECT *, (length(word) + word_idx) % 8 AS k, ((length(word) * 7 + word_idx * 3) % 10) / 10.0 AS p FROM w),
 g AS (SELECT *, max(p) OVER (PARTITION BY doc_id) >= 0.66 AND p > 0.1 + 0.2 AND p >= 0.66 AS go FROM m),
-e AS (SELECT doc_id, word_idx, CASE WHEN NOT go OR k = 0 THEN [word] WHEN k = 1 THEN [] WHEN k = 2 THEN [word, 'x'] WHEN k = 3 THEN ['y'] WHEN k = 4 THEN [upper(word[1]) || word[2:]] WHEN k = 5 THEN [upper(word)]
+e AS (SELECT doc_id, word_idx, CASE WHEN NOT go OR k = 0 THEN [word] WHEN k = 1 THEN [] WHEN k = 2 THEN [word, 'x'] WHEN k = 3 THEN ['y'] WHEN k = 4 THEN [replace(upper(word[1]), 'ẞ', 'SS') || word[2:]] WHEN k = 5 THEN [replace(upper(word), 'ẞ', 'SS')]
   WHEN k = 6 THEN [word || CASE WHEN regexp_matches(word, '(?:s|x|z|ch|sh)$') THEN 'es' ELSE 's' END] ELSE [CASE WHEN word = 'the' THEN 'thes' ELSE word END] END AS ws FROM g)
 SELECT doc_id, word_idx, generate_subscripts(ws, 1) - 1 AS sub_idx, unnest(ws) AS word FROM e""")
 def l4_apply_edits(spark: SparkSession, d: str) -> DataFrame:
@@ -312,7 +313,7 @@ QUERIES["l4_decode_diff"] = l4_decode_diff
 LINES = ["# comment", "their; there; 10", "a -> an; 1000 # one way", "of; off; x", "more words; one; 5", "its|x; it's|y; 1e6", ""]
 
 
-@query("SELECT * FROM (VALUES ('their', 'there', 10::FLOAT, true), ('a', 'an', 1000::FLOAT, false), ('its', 'it''s', 1000000::FLOAT, true)) t(a, b, factor, symmetric)")
+@query("SELECT * FROM (VALUES ('their', 'there', 10::FLOAT, true), ('a', 'an', 1000::FLOAT, false), ('its', 'it''s', 1000000::FLOAT, true)) t(a, b, factor, \"symmetric\")")
 def confusion_sets_parse(spark: SparkSession, d: str) -> DataFrame:
     """SRC-13"""
     return readers.confusion_sets(spark.createDataFrame([(x,) for x in LINES], "value string"))

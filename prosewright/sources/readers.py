@@ -18,7 +18,7 @@ def confusion_sets(lines: DataFrame) -> DataFrame:
     arrow = bare.contains("->")
     parts = F.transform(F.split(F.regexp_replace(bare, r"\s*->\s*", ";"), ";"), lambda x: F.trim(F.regexp_extract(x, r"^([^|]*)", 1)))
     rows = lines.select(parts.alias("p"), (~arrow).alias("symmetric")).filter(F.size("p") >= 3)
-    rows = rows.select(F.lower(F.col("p")[0]).alias("a"), F.lower(F.col("p")[1]).alias("b"), F.col("p")[2].try_cast("float").alias("factor"), "symmetric")
+    rows = rows.select(F.lower(F.get("p", F.lit(0))).alias("a"), F.lower(F.get("p", F.lit(1))).alias("b"), F.get("p", F.lit(2)).try_cast("float").alias("factor"), "symmetric")
     return rows.filter("a <> '' AND b <> '' AND factor IS NOT NULL AND a NOT LIKE '% %' AND b NOT LIKE '% %'")
 
 

@@ -29,9 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosewright.llm.common import Scratch, documents, join_by_size, join_groups, mix, runs
+from prosewright.llm.common import Scratch, documents, join_by_size, join_groups, lean, mix, runs, small_batches
 
-TREES, LEAF, ROUNDS, PIVOTS, SKETCH = 16, 100, 10, 4, 128
+TREES, LEAF, ROUNDS, PIVOTS, SKETCH = 16, 3000, 4, 4, 128
+#: Cells of the bit matrix, and shingles, that are compared at once; words whose hashes are remembered.
+CELLS, AT_ONCE, MEMO = 1 << 24, 1 << 20, 100_000
 #: Standard errors that the sketches' estimate may lie below the threshold.
 SLACK = 4.0
 
@@ -41,7 +43,7 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 500_000 and len(word) < 100:
+        if len(self) < MEMO and len(word) < 100:
             self[word] = h
         return h
 
@@ -112,7 +114,7 @@ def describe(docs: DataFrame, k: int, threshold: float) -> DataFrame:
                     ["doc_id", "n_shingles", "sign", "sketch", "roots"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, sign binary, sketch binary, roots array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id bigint, n_shingles bigint, sign binary, sketch binary, roots array<bigint>")
 
 
 def branch(rows: DataFrame, threshold: float) -> DataFrame:
@@ -225,37 +227,56 @@ def clusters(rows: DataFrame, threshold: float) -> DataFrame:
             if names:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(members))], ["node", "id"])
 
-    return rows.select("node", "id", "sketch").repartition("node").sortWithinPartitions("node").mapInArrow(run, "node bigint, id bigint").distinct()
-
-
-class Forest:
-    """Union-find over small integers."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def top(self, k: int) -> int:
-        while self.up[k] != k:
-            self.up[k] = self.up[self.up[k]]
-            k = self.up[k]
-        return k
-
-
-def links_within(sets: list[np.ndarray], num: int, den: int, forest: Forest, pairs: Iterator[tuple[int, int]]) -> None:
-    """Joins those pairs of sets with den * intersection >= num * union; pairs already joined need no look."""
-    bags: dict[int, set] = {}
-    for i, j in pairs:
-        p, q = forest.top(i), forest.top(j)
-        if p == q:
-            continue
-        m, n = len(sets[i]), len(sets[j])
-        if den * min(m, n) < num * max(m, n) or not m or not n:
-            continue
-        a = bags.get(i) or bags.setdefault(i, set(sets[i].tolist()))
-        b = bags.get(j) or bags.setdefault(j, set(sets[j].tolist()))
-        both = len(a & b)
-        if den * both >= num * (m + n - both):
-            forest.up[max(p, q)] = min(p, q)
+    return rows.select("node", "id", "sketch").repartition("node").sortWithinPartitions("node").mapInArrow(lean(run), "node bigint, id bigint").distinct()
+
+
+def add_shared(out: np.ndarray, sets: list[np.ndarray]) -> None:
+    """Adds intersection sizes to the lower half of a square matrix, by bit sets over the shingles that sets share."""
+    n = len(sets)
+    names, which, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n), np.fromiter(map(len, sets), np.int64, n))
+    number = np.cumsum(often > 1) - 1
+    keep = often[which] > 1
+    owner, which = owner[keep], number[which[keep]]
+    width = max(64, CELLS // n // 64 * 64)
+    for low in range(0, int((often > 1).sum()), width):
+        here = (which >= low) & (which < low + width)
+        bits = np.zeros((n, width), bool)
+        bits[owner[here], which[here] - low] = True
+        words = np.packbits(bits, axis=1).view(np.uint64)
+        words = words[:, words.any(0)]
+        for j in range(1, n):
+            out[j, :j] += np.bitwise_count(words[:j] & words[j]).sum(1, dtype=np.int32)
+
+
+def joined(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int, ask: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """(least id, id) of the components of a cluster: pairs with den * intersection >= num * union are linked, and
+    rows that share an id are one document. With ask, only pairs with a member of ask are linked."""
+    n = len(ids)
+    sizes = np.fromiter(map(len, sets), np.int64, n)
+    both = np.zeros((n, n), np.int32)
+    parts = int(sizes.sum()) // AT_ONCE + 1
+    for p in range(parts):  # shingles by their hash, so that few are held at once
+        add_shared(both, sets if parts == 1 else [s[s % np.uint64(parts) == p] for s in sets])
+    link = ids[:, None] == ids[None, :]
+    for j in range(1, n):
+        row = both[j, :j].astype(np.int64)
+        near = (den * row >= num * (sizes[j] + sizes[:j] - row)) & (row > 0)
+        link[j, :j] |= near if ask is None or ask[j] else near & ask[:j]
+    link |= link.T
+    left, out = np.ones(n, bool), []
+    for i in range(n):
+        if left[i]:
+            now = np.zeros(n, bool)
+            now[i] = True
+            edge = now
+            while edge.any():
+                edge = link[edge].any(0) & ~now
+                now = now | edge
+            left &= ~now
+            own = np.unique(ids[now])
+            out += [(own[0], x) for x in own[1:]]
+    return out
 
 
 def confirm(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -270,21 +291,13 @@ def confirm(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
             out = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 sets = [shingles(t, k) for t in table.column("text").slice(a, b - a).to_pylist()]
-                order = np.argsort(ids[a:b], kind="stable")
-                mine, forest = ids[a:b][order], Forest(b - a)
-                sets = [sets[i] for i in order]
-                one = side[a:b][order] if sided else None
-                for i in range(1, b - a):  # rows that share an id are one document
-                    if mine[i] == mine[i - 1]:
-                        forest.up[i] = forest.top(i - 1)
-                links_within(sets, num, den, forest, ((i, j) for j in range(1, b - a) for i in range(j) if not sided or one[i] or one[j]))
-                out += [(mine[t], mine[i]) for i in range(b - a) if (t := forest.top(i)) != i and mine[t] != mine[i]]
+                out += joined(ids[a:b], sets, num, den, side[a:b] == 1 if sided else None)
             if out:
                 x, y = np.array(out, np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     cols = ["node", "id", "text", *(["side"] if sided else [])]
-    return rows.select(*cols).repartition("node").sortWithinPartitions("node").mapInArrow(run, "a bigint, b bigint")
+    return rows.select(*cols).repartition("node").sortWithinPartitions("node").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -294,7 +307,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least.hint("merge"), "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a < b").distinct()
+        large = both.join(least.hint("merge"), "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a < b")
         # small star: every edge leads from the larger id to the smaller one
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         met = large.join(least.hint("merge"), "b")
@@ -317,6 +330,7 @@ def texts_of(docs: DataFrame, rows: DataFrame, scratch: Scratch, name: str) -> D
 
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept. Documents link at similarity num/den or more."""
+    small_batches(docs.sparkSession)
     threshold = num / den
     scratch = Scratch(docs.sparkSession, "near")
     found = scratch.table(describe(docs, k, threshold), "sets")
@@ -329,7 +343,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     rows = scratch.table(unlike(rows), "leaves")
     near = scratch.table(clusters(rows.join(classes.select("id", "sketch").hint("merge"), "id"), threshold), "clusters")
     links = scratch.table(confirm(texts_of(docs, near, scratch, "near"), k, num, den), "confirmed")
-    # copies: rows of one doc_id with several sets, and the classes' own members
     tops = components(links, scratch)
     if large is not None:
         more = stragglers(docs, large.select("node", "id"), tops, scratch, k, num, den)
@@ -351,7 +364,6 @@ def stragglers(docs: DataFrame, large: DataFrame, tops: DataFrame, scratch: Scra
     parts = F.ceil(F.col("size") / LEAF).cast("int")
     block = F.pmod(F.xxhash64("id", F.lit(9)), parts).cast("int")
     outside = with_main.filter("top <> main")
-    groups = F.ceil(F.lit(1)).cast("int")
     every = with_main.withColumn("block", block)
     homes = outside.withColumn("home", block).select("node", "home").distinct()
     pairs = homes.join(main.hint("merge"), "node").select("node", "home", F.explode(F.sequence(F.lit(0), parts - 1)).alias("block"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosewright.llm.common import Scratch, join_by_size, join_groups
+from prosewright.llm.common import Scratch, join_by_size, join_groups, lean
 
 REVISIT_BYTES, FILE_RECORDS, ARC_DATE = 100, 2000, "20200102030405"
 #: Fixed field lists of the two header versions.
@@ -204,7 +204,7 @@ def by_file(files: DataFrame, read, schema: str) -> DataFrame:
                 if rows:
                     yield pack(rows)
 
-    return files.mapInArrow(run, schema)
+    return files.mapInArrow(lean(run), schema)
 
 
 def write_arc(pages: DataFrame, path: str, version: int = 1) -> None:
@@ -223,7 +223,7 @@ def write_arc(pages: DataFrame, path: str, version: int = 1) -> None:
                 k += 1
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["record"])
 
-    write_records(pages.select("page_id", "url", "html").mapInArrow(run, "record binary"), path, "\n")
+    write_records(pages.select("page_id", "url", "html").mapInArrow(lean(run), "record binary"), path, "\n")
 
 
 def page_of(http: dict[str, str]) -> int | None:
@@ -264,7 +264,7 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
                 out.append(warc_record(ArcRecord(dict(x.split("=", 1) for x in fields.split(" ")), block), to))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    write_records(joined.select("fields", "block", refers.alias("refers_to")).mapInArrow(run, "record binary"), warc_path, "\r\n\r\n")
+    write_records(joined.select("fields", "block", refers.alias("refers_to")).mapInArrow(lean(run), "record binary"), warc_path, "\r\n\r\n")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:

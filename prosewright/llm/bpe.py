@@ -26,11 +26,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from prosewright.llm.common import documents
+from prosewright.llm.common import documents, lean, small_batches
 
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of the memo, of a chunk in it, and what an entry takes besides its bytes; known pairs; symbols of a short word.
-MEMO_BYTES, MEMO_CHUNK, ENTRY, PAIRS, SHORT, NONE = 256 << 20, 256, 240, 1 << 21, 80, 1 << 62
+MEMO_BYTES, MEMO_CHUNK, ENTRY, PAIRS, SHORT, NONE = 112 << 20, 256, 240, 1 << 19, 80, 1 << 62
 PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 
@@ -258,6 +258,7 @@ def small(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, i
 
 def encode_documents(docs: DataFrame, path: str | None = None, outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and the outputs asked for: ids (array) and decoded (string)."""
+    small_batches(docs.sparkSession)
     path = path or tokenizer_path(TOKENIZER)
     more = {"ids": "array<int>", "decoded": "string"}
     more = {k: more[k] for k in more if k in outputs}
@@ -278,7 +279,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, outputs: tuple[st
 
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + "".join(f", {k} {v}" for k, v in more.items())
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
 
 
 def op10_bpe_speculate_verify(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosewright.llm.common import Scratch, documents, join_by_size, join_groups
+from prosewright.llm.common import Scratch, documents, join_by_size, join_groups, lean, small_batches
 
 WINDOW, DIVISOR, SHORTEST, LONGEST = 2, 3, 2, 16
 NO_ID = (1 << 63) - 1
@@ -65,7 +65,7 @@ def chunks(rows: DataFrame, texts: bool) -> DataFrame:
                 cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
                 yield pa.RecordBatch.from_arrays(cols[: 6 if texts else 5], ["row", "doc", "k", "h", "size", "chunk"][: 6 if texts else 5])
 
-    return rows.select("row", "doc", "text").mapInArrow(run, "row bigint, doc bigint, k int, h bigint, size bigint" + (", chunk binary" if texts else ""))
+    return rows.select("row", "doc", "text").mapInArrow(lean(run), "row bigint, doc bigint, k int, h bigint, size bigint" + (", chunk binary" if texts else ""))
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -112,12 +112,13 @@ def picked(rows: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["row", "k", "chunk"])
 
-    return rows.select("row", "ks", "text").mapInArrow(run, "row bigint, k int, chunk binary")
+    return rows.select("row", "ks", "text").mapInArrow(lean(run), "row bigint, k int, chunk binary")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, text (what stays), n_lines, n_removed_lines, n_removed_chunks, text_sha256, spans
     (byte ranges that went, as arrays of start and end in the text)."""
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "lines")
     rows = numbered(docs)
     gone = removed_chunks(docs, scratch)
@@ -144,7 +145,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
     n = gone.agg(F.sum(F.size("ks"))).first()[0] or 0
     joined = join_by_size(rows, gone, "row", "left", n).select("doc_id", "text", "ks")
-    return joined.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, text string, n_lines bigint, n_removed_lines bigint, n_removed_chunks bigint, text_sha256 string, spans array<array<bigint>>")
+    return joined.mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)['doc_id']}, text string, n_lines bigint, n_removed_lines bigint, n_removed_chunks bigint, text_sha256 string, spans array<array<bigint>>")
 
 
 def op4_line_dedup_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosewright.llm.common import documents
+from prosewright.llm.common import documents, lean, small_batches
 
 SAMPLE, BAG, PASSAGE, HIDDEN, GATE, GRAMS = 3000, 24, 1024, 32, 16, 512
 INPUTS = 256 + 6
@@ -176,7 +176,7 @@ def bags(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality").cast(pa.int32()), pa.array(out, pa.binary())], ["doc_id", "quality", "x"])
 
     kind = dict(rows.dtypes)["doc_id"]
-    got = rows.select("doc_id", "quality", "text").mapInArrow(run, f"doc_id {kind}, quality int, x binary").dropDuplicates(["doc_id"]).limit(SAMPLE).toArrow().sort_by("doc_id")
+    got = rows.select("doc_id", "quality", "text").mapInArrow(lean(run), f"doc_id {kind}, quality int, x binary").dropDuplicates(["doc_id"]).limit(SAMPLE).toArrow().sort_by("doc_id")
     xs = [np.frombuffer(b, np.float16).reshape(-1, INPUTS) for b in got.column("x").to_pylist()]
     y = np.array(got.column("quality").to_pylist(), np.float64)
     return np.concatenate(xs).astype(np.float32) if xs else np.zeros((0, INPUTS), np.float32), np.array([len(x) for x in xs], np.int64), y
@@ -205,6 +205,7 @@ def score_texts(m: Model, texts: list[str | None]) -> tuple[np.ndarray, list[np.
 
 def classify(docs: DataFrame, model: Model, outputs: bool = True) -> DataFrame:
     """docs' doc_id with held_out, score, predicted and, with outputs, the attention weights by passage."""
+    small_batches(docs.sparkSession)
     model = Model(*(a.astype(np.float32) for a in model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,20 +220,19 @@ def classify(docs: DataFrame, model: Model, outputs: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "score", "predicted", *(["attention"] if outputs else [])])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int" + (", attention array<float>" if outputs else ""))
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, score double, predicted int" + (", attention array<float>" if outputs else ""))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those predicted 0; all columns kept."""
+    small_batches(docs.sparkSession)
     model = Model(*(a.astype(np.float32) for a in fit(docs, labels)))
 
-    @F.pandas_udf("boolean")
-    def good(text):
-        import pandas as pd
-
-        return pd.Series(score_texts(model, [t if isinstance(t, str) else None for t in text])[0] >= 0.5)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(score_texts(model, batch.column("text").to_pylist())[0] >= 0.5))
 
-    return docs.filter(good("text"))
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op2_quality_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:

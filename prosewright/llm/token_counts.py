@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from prosewright.llm.common import documents
+from prosewright.llm.common import documents, lean, small_batches
 
 RANKS, BLOCK = "byte_bpe_50k.tiktoken", 2048
 
@@ -44,6 +44,7 @@ def ranks_path(name: str) -> str:
 
 def lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and n_tokens of each row."""
+    small_batches(docs.sparkSession)
     path = path or ranks_path(RANKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,7 +53,7 @@ def lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
             sizes = [len(encode(t)) if t else 0 for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens bigint")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens bigint")
 
 
 def histogram(sizes: DataFrame) -> DataFrame:

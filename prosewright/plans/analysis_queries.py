@@ -178,7 +178,9 @@ def edit1_candidates(spark: SparkSession, d: str) -> DataFrame:
 #: DuckDB's edit distance counts bytes, so letters of several bytes are stood in for by single ones.
 WIDE, NARROW = "àâæçèéêëîïôœùûüÿñáíóúäöß", "0123456789ABCDEFGHIJKLMN"
 ALPHA = "(CASE l.lang " + " ".join(f"WHEN '{x.code}' THEN regexp_full_match(l.surface, '[{x.alphabet}]+')" for x in config.LANGS.values()) + " ELSE false END)"
-SUGGEST = rf"""cand AS (SELECT DISTINCT u.lang, u.word, l.surface AS c FROM unk u JOIN lexicon l ON l.lang = u.lang AND abs(length(u.word) - length(l.surface)) <= 1
+SUGGEST = rf"""us AS (SELECT DISTINCT lang, word, unnest(list_append(list_transform(range(1, length(word) + 1), lambda i: word[1:i - 1] || word[i + 1:]), word)) AS sig FROM unk),
+ls AS (SELECT DISTINCT lang, surface, unnest(list_append(list_transform(range(1, length(surface) + 1), lambda i: surface[1:i - 1] || surface[i + 1:]), surface)) AS sig FROM lexicon),
+cand AS (SELECT DISTINCT u.lang, u.word, l.surface AS c FROM us u JOIN ls l ON l.lang = u.lang AND l.sig = u.sig
   WHERE {ALPHA} AND l.surface = lower(l.surface) AND damerau_levenshtein(translate(u.word, {quoted(WIDE)}, {quoted(NARROW)}), translate(l.surface, {quoted(WIDE)}, {quoted(NARROW)})) = 1),
 sug AS (SELECT lang, word, list_sort(list(c))[1:5] AS suggestions FROM cand GROUP BY 1, 2)"""
 

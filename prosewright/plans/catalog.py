@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prosewright.plans import analysis_queries, model_queries, rule_queries
+from prosewright.plans import analysis_queries, model_queries, report_queries, rule_queries
 
-MODULES = (analysis_queries, rule_queries, model_queries)
+MODULES = (analysis_queries, rule_queries, model_queries, report_queries)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

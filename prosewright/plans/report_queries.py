@@ -55,7 +55,7 @@ def bytes_by_language(spark: SparkSession, d: str) -> DataFrame:
 VERSIONS = ["5.8", "6.0", "6.10", "6.2", "6.7"]
 
 
-@query("SELECT * FROM (VALUES ('6.0', 1, 6), ('6.2', 2, 2), ('6.7', 3, 3)) t(version, place, n)")
+@query("SELECT * FROM (VALUES ('6.0', 1, 6), ('6.2', 2, 2), ('6.7', 3, 7)) t(version, place, n)")
 def version_slice(spark: SparkSession, d: str) -> DataFrame:
     """SRT-7: by the list's own order, not by spelling"""
     order = spark.createDataFrame(list(enumerate(["5.8", "6.0", "6.2", "6.7", "6.10"])), "at int, version string").select("version", "at")

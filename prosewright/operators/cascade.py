@@ -21,7 +21,7 @@ def stack(layers: list[DataFrame]) -> DataFrame:
 
 def without_noops(found: DataFrame, surface: Column) -> DataFrame:
     """Drops suggestions that equal the text of the span, and diagnostics that had suggestions and lose all (PRJ-9)."""
-    rest = F.filter("suggestions", lambda x: x != F.col("surface"))
+    rest = F.array_remove("suggestions", F.col("surface"))
     rows = found.withColumn("surface", surface).withColumn("rest", rest)
     kept = rows.filter((F.size("suggestions") == 0) | (F.size("rest") > 0))
     return kept.withColumn("suggestions", F.col("rest")).drop("rest", "surface")
@@ -46,9 +46,10 @@ def severity(source: Column) -> Column:
 
 
 def check(docs: DataFrame, layers: list[DataFrame]) -> DataFrame:
-    """The whole cascade over documents, in its final order."""
-    found = stack(layers).join(docs.select("doc_id", "text"), "doc_id")
-    return ordered(without_noops(found, byte_slice(F.col("text"), F.col("s"), F.col("e"))).drop("text"))
+    """The whole cascade over documents, in its final order. The guard runs by layer, below the union."""
+    texts = docs.select("doc_id", "text")
+    guarded = [without_noops(x.select(*COLUMNS).join(texts, "doc_id"), byte_slice(F.col("text"), F.col("s"), F.col("e"))) for x in layers]
+    return ordered(stack(guarded))
 
 
 def printed(docs: DataFrame, found: DataFrame, name: Column) -> DataFrame:

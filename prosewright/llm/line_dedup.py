@@ -5,10 +5,15 @@ the chunk has SHORTEST lines, or at LONGEST lines. A boundary so depends on the
 deleted lines shift no boundaries but their neighbours'. Chunks of several lines whose hash occurs again anywhere are
 compared byte by byte with the first occurrence (the least doc_id, then place), and those that are equal are removed.
 
+A chunk repeats only where it lies whole inside what two texts share, so chunks alone leave most short passages. With
+passages=True, as the query has it, the least runs of lines with over WORDS words that start or end at each line are
+compared in the same way. What such a run is depends on its own lines alone, so all of those inside a shared passage of
+over WORDS words, of one line or more, occur again in each of its copies, and together they cover its lines with words.
+
 Only hashes shuffle for the counts, and then the bytes of repeated chunks alone. A chunk that a large share of all
 documents holds is one key: its counts add up before the shuffle, and its occurrences meet the first one in the join
 of hot keys. Defined results: a null text counts as empty and has no chunk; lines without a word count as lines; a
-chunk of one line stays; a null doc_id sorts last among occurrences; rows equal in
+chunk of one line stays unless it is a passage; a null doc_id sorts last among occurrences; rows equal in
 doc_id and text are one document and get the same result; texts that lose all lines become empty; an empty table gives an empty result; other columns
 are ignored.
 """
@@ -17,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +33,7 @@ from pyspark.sql import functions as F
 from prosewright.llm.common import Scratch, documents, join_by_size, join_groups, lean, small_batches
 
 WINDOW, DIVISOR, SHORTEST, LONGEST = 2, 3, 2, 16
+WORDS = 50
 NO_ID = (1 << 63) - 1
 
 
@@ -45,50 +52,90 @@ def boundaries(lines: list[bytes]) -> list[tuple[int, int]]:
     return out
 
 
+def passages(lines: list[bytes]) -> set[tuple[int, int]]:
+    """The least ranges of lines with over WORDS words (runs without white space) from each line with a word on, and up
+    to each."""
+    counts = [(k, n) for k, n in enumerate(len(x.split()) for x in lines) if n]
+    out, total, j = set(), 0, 0
+    for k, n in counts:
+        while total <= WORDS and j < len(counts):
+            total += counts[j][1]
+            j += 1
+        if total <= WORDS:
+            break
+        out.add((k, counts[j - 1][0] + 1))
+        total -= n
+    total = i = 0
+    for k, n in counts:
+        total += n
+        while total - counts[i][1] > WORDS:
+            total -= counts[i][1]
+            i += 1
+        if total > WORDS:
+            out.add((counts[i][0], k + 1))
+    return out
+
+
+def ranges(lines: list[bytes], whole: bool) -> list[tuple[int, int]]:
+    """What is compared, in the order of places: chunks of several lines and, if whole, passages; each range once."""
+    several = [x for x in boundaries(lines) if x[1] - x[0] > 1]
+    return sorted({*several} | passages(lines)) if whole else several
+
+
+def disjoint(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges in order, those that overlap made one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def split_lines(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split(b"\n") if text else []
 
 
-def chunks(rows: DataFrame, texts: bool) -> DataFrame:
-    """(row, doc, k, h, size[, chunk]) of chunks of several lines; h is a 64-bit hash."""
+def chunks(rows: DataFrame, whole: bool) -> DataFrame:
+    """(row, doc, k, h, size) of what is compared, k being its place among the ranges; h is a 64-bit hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for row, doc, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc", "text")), strict=True):
                 lines = split_lines(text)
-                for k, (a, b) in enumerate(boundaries(lines)):
-                    if b - a > 1:
-                        chunk = b"\n".join(lines[a:b])
-                        out.append((row, doc, k, np.uint64(xxhash.xxh3_64_intdigest(chunk)).astype(np.int64), len(chunk), chunk))
+                for k, (a, b) in enumerate(ranges(lines, whole)):
+                    chunk = b"\n".join(lines[a:b])
+                    out.append((row, doc, k, np.uint64(xxhash.xxh3_64_intdigest(chunk)).astype(np.int64), len(chunk)))
             if out:
-                cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
-                yield pa.RecordBatch.from_arrays(cols[: 6 if texts else 5], ["row", "doc", "k", "h", "size", "chunk"][: 6 if texts else 5])
+                cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays(cols, ["row", "doc", "k", "h", "size"])
 
-    return rows.select("row", "doc", "text").mapInArrow(lean(run), "row bigint, doc bigint, k int, h bigint, size bigint" + (", chunk binary" if texts else ""))
+    return rows.select("row", "doc", "text").mapInArrow(lean(run), "row bigint, doc bigint, k int, h bigint, size bigint")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), F.xxhash64("doc_id", "text").alias("row"), "text")
 
 
-def removed_chunks(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def removed_chunks(docs: DataFrame, scratch: Scratch, whole: bool) -> DataFrame:
     """(row, ks): the chunks of each row that repeat an earlier one, confirmed by their bytes."""
     rows = numbered(docs)
-    seen = scratch.table(chunks(rows, False), "chunks")
+    seen = scratch.table(chunks(rows, whole), "chunks")
     place = F.struct("doc", "row", "k")
     groups = seen.groupBy("h", "size").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
     groups = scratch.table(groups, "groups")
     total = groups.agg(F.sum("n")).first()[0] or 0
     again = scratch.table(join_groups(seen, groups, ["h", "size"], "n", total), "again")
-    return confirm(rows, again, again.count(), scratch)
+    return confirm(rows, again, again.count(), scratch, whole)
 
 
-def confirm(rows: DataFrame, again: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+def confirm(rows: DataFrame, again: DataFrame, n: int, scratch: Scratch, whole: bool) -> DataFrame:
     """The n occurrences, less those whose bytes differ from the first one's. The bytes of repeated chunks are cut out
     of the texts once; while the occurrences may be broadcast, the texts stay where they are."""
     wanted = again.groupBy("row").agg(F.collect_set("k").alias("ks"))
-    cut = scratch.table(picked(join_by_size(rows, wanted, "row", "inner", n)).distinct(), "bytes")
+    cut = scratch.table(picked(join_by_size(rows, wanted, "row", "inner", n), whole).distinct(), "bytes")
     told = again.distinct().join(cut.hint("merge"), ["row", "k"])
     is_first = (F.col("first.row") == F.col("row")) & (F.col("first.k") == F.col("k"))
     firsts = told.filter(is_first).select("h", "size", "n", F.col("chunk").alias("first_chunk"))
@@ -99,7 +146,7 @@ def confirm(rows: DataFrame, again: DataFrame, n: int, scratch: Scratch) -> Data
     return scratch.table(same.groupBy("row").agg(F.array_sort(F.collect_set("k")).alias("ks")), "removed")
 
 
-def picked(rows: DataFrame) -> DataFrame:
+def picked(rows: DataFrame, whole: bool) -> DataFrame:
     """(row, k, chunk) of the chunks ks of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +154,7 @@ def picked(rows: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for row, ks, text in zip(*(batch.column(c).to_pylist() for c in ("row", "ks", "text")), strict=True):
                 lines = split_lines(text)
-                spans = boundaries(lines)
+                spans = ranges(lines, whole)
                 out += [(row, k, b"\n".join(lines[slice(*spans[k])])) for k in ks]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["row", "k", "chunk"])
@@ -115,28 +162,28 @@ def picked(rows: DataFrame) -> DataFrame:
     return rows.select("row", "ks", "text").mapInArrow(lean(run), "row bigint, k int, chunk binary")
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, passages: bool = False) -> DataFrame:
     """One row a document: doc_id, text (what stays), n_lines, n_removed_lines, n_removed_chunks, text_sha256, spans
-    (byte ranges that went, as arrays of start and end in the text)."""
+    (byte ranges that went, as arrays of start and end in the text). With passages, repeated passages of over WORDS
+    words go beside repeated chunks, and ranges that overlap count as one chunk and one span."""
     small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "lines")
     rows = numbered(docs)
-    gone = removed_chunks(docs, scratch)
+    gone = removed_chunks(docs, scratch, passages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
             for ks, text in zip(batch.column("ks").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                lines, drop = split_lines(text), set(ks or [])
-                spans, stay, at, lost = [], [], 0, 0
-                for k, (a, b) in enumerate(boundaries(lines)):
-                    end = at + sum(map(len, lines[a:b])) + b - a
-                    if k in drop:
-                        spans.append([at, end])
-                        lost += b - a
-                    else:
-                        stay += lines[a:b]
-                    at = end
+                lines = split_lines(text)
+                places = ranges(lines, passages) if ks else []
+                drop = disjoint([places[k] for k in ks or []])
+                starts = list(accumulate((len(x) + 1 for x in lines), initial=0))
+                spans, stay, at = [[starts[a], starts[b]] for a, b in drop], [], 0
+                for a, b in [*drop, (len(lines), len(lines))]:
+                    stay += lines[at:a]
+                    at = b
+                lost = len(lines) - len(stay)
                 left = b"\n".join(stay)
                 for c, v in zip(cols, (left.decode("utf-8", "surrogatepass"), len(lines), lost, len(drop), hashlib.sha256(left).hexdigest(), spans), strict=True):
                     c.append(v)
@@ -149,4 +196,4 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 
 def op4_line_dedup_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(documents(spark, sf_dir)).drop("spans")
+    return line_dedup(documents(spark, sf_dir), passages=True).drop("spans")

@@ -382,6 +382,54 @@ def test_chunks_tile_and_resist_shifts():
     assert len(chunks(lines) & chunks(moved)) >= 0.9 * len(spans)
 
 
+def runs_seen_before(texts):
+    """By brute force: the lines with words in runs of over 50 words that occur earlier, in texts in order."""
+    seen, out = set(), []
+    for t in texts:
+        lines = t.split("\n")
+        gone = set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                run = "\n".join(lines[a:b])
+                if len(run.split()) > 50:
+                    if run in seen:
+                        gone |= {k for k in range(a, b) if lines[k].split()}
+                    seen.add(run)
+        out.append(gone)
+    return out
+
+
+def test_line_dedup_takes_whole_passages(spark):
+    rng = random.Random(8)
+    line = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    shared = [[line(60)], [line(30), line(30)], [line(20), "", line(25), line(20)], [line(9) for _ in range(13)], [line(40), line(10)], [line(50)]]
+    texts = []
+    for i in range(40):
+        lines = [line(rng.choice([0, 1, 5, 30, 70])) for _ in range(rng.randint(0, 6))]
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randint(0, len(lines))
+            lines[at:at] = rng.choice(shared)
+        texts.append("\n".join(lines))
+    want = runs_seen_before(texts)
+    got = {r.doc_id: r for r in line_dedup.line_dedup(frame(spark, list(enumerate(texts))), passages=True).collect()}
+    plain = {r.doc_id: r for r in line_dedup.line_dedup(frame(spark, list(enumerate(texts)))).collect()}
+    assert sum(map(len, want)) > 40
+    for i, t in enumerate(texts):
+        cut = lambda r, n=len(t.encode()) + 1: {k for a, b in r.spans for k in range(a, min(b, n))}
+        at, worded, lost = 0, set(), cut(got[i])
+        for k, x in enumerate(t.split("\n")):
+            if x.split() and at in lost:
+                worded.add(k)
+            assert not x or set(range(at, at + len(x))) <= lost or not set(range(at, at + len(x))) & lost
+            at += len(x.encode()) + 1
+        chunked = cut(plain[i])
+        assert chunked <= lost and worded >= want[i]
+        at = 0
+        for k, x in enumerate(t.split("\n")):
+            assert k not in worded - want[i] or at in chunked
+            at += len(x.encode()) + 1
+
+
 # mixing
 
 

@@ -54,6 +54,25 @@ def tokens(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "lang", "sent", (F.row_number().over(by) - 1).cast("long").alias("tok"), F.col("piece").alias("text"), "s", "e", spaced.alias("spaced"), last.alias("last"))
 
 
+def token_places(docs: DataFrame) -> DataFrame:
+    """Where each token starts: doc_id, tok, text, s (bytes), utf16 (PRJ-15), line and col from 1 (SNK-2), in one pass of
+    running sums."""
+    by = W.partitionBy("doc_id").orderBy("i")
+    before = by.rowsBetween(W.unboundedPreceding, -1)
+
+    def sum_before(x: Column) -> Column:
+        return F.coalesce(F.sum(x).over(before), F.lit(0)).cast("bigint")
+
+    chars = F.char_length("piece")
+    astral = F.char_length(F.regexp_replace("piece", r"[\x{0}-\x{FFFF}]", ""))
+    breaks = chars - F.char_length(F.replace("piece", F.lit("\n"), F.lit("")))
+    sums = {"tok": sum_before((~F.col("blank")).cast("int")), "at": sum_before(chars), "utf16": sum_before(chars + astral), "line": sum_before(breaks) + 1}
+    rows = pieces(docs).withColumns(sums)
+    behind = F.when(F.contains("piece", F.lit("\n")), F.col("at") + chars - F.char_length(F.substring_index("piece", "\n", -1)))
+    start = F.coalesce(F.max(behind).over(before), F.lit(0))
+    return rows.withColumn("col", (F.col("at") - start + 1).cast("bigint")).filter("not blank").select("doc_id", "tok", F.col("piece").alias("text"), "s", "utf16", "line", "col")
+
+
 def with_sentinels(toks: DataFrame) -> DataFrame:
     """Adds a zero-width token tagged SENT_START before each sentence (TOK-3); pos numbers the result within a document."""
     first = toks.groupBy("doc_id", "lang", "sent").agg(F.min("tok").alias("tok"), F.min("s").alias("s"))

@@ -60,7 +60,7 @@ SELECT doc_id, s, (coalesce(lines, 0) + 1)::BIGINT AS line,
   CASE WHEN nl IS NULL THEN coalesce(chars, 0) + 1 ELSE chars - (coalesce(nc, 0) + length(np)) + length(string_split(np, chr(10))[-1]) + 1 END::BIGINT AS col
 FROM u WHERE piece = 'the'""")
 def line_col(spark: SparkSession, d: str) -> DataFrame:
-    """SNK-2: where every 'the' stands"""
+    """SNK-2: where every 'the' stands; line_col_all has all tokens"""
     docs = documents(spark, d)
     hits = tokens(spark, d).filter("text = 'the'").select("doc_id", "s").join(docs.select("doc_id", "text"), "doc_id")
     return hits.select("doc_id", "s", fn.line_of(F.col("text"), F.col("s")).cast("bigint").alias("line"), fn.column_of(F.col("text"), F.col("s")).cast("bigint").alias("col"))
@@ -75,12 +75,26 @@ t AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS t
   FROM r WHERE NOT regexp_matches(piece, '^[\s\p{Z}\x{85}\x{0B}]'))
 SELECT * FROM t WHERE tok < 40""")
 def utf16_spans(spark: SparkSession, d: str) -> DataFrame:
-    """PRJ-15: byte offsets of tokens as UTF-16 offsets, in texts with an astral character in front"""
+    """PRJ-15: byte offsets of each document's first 40 tokens as UTF-16 offsets, in texts with an astral character in
+    front; utf16_spans_all has all tokens"""
     docs = documents(spark, d).select("doc_id", "lang", F.concat(F.lit("𝒳 é "), F.col("text")).alias("text"))
     hits = analysis.tokens(docs).filter("tok < 40").select("doc_id", "tok", "s").join(docs.select("doc_id", "text"), "doc_id")
     return hits.select("doc_id", "tok", "s", fn.utf16_offset(F.col("text"), F.col("s")).cast("bigint").alias("utf16"))
 
 
+@query(SQL["line_col"].removesuffix(" WHERE piece = 'the'") + " WHERE NOT blank")
+def line_col_all(spark: SparkSession, d: str) -> DataFrame:
+    """SNK-2: where every token stands"""
+    return analysis.token_places(documents(spark, d)).select("doc_id", "s", "line", "col")
+
+
+@query(SQL["utf16_spans"].removesuffix(" WHERE tok < 40"))
+def utf16_spans_all(spark: SparkSession, d: str) -> DataFrame:
+    """PRJ-15: byte offsets of all tokens as UTF-16 offsets, in texts with an astral character in front"""
+    docs = documents(spark, d).select("doc_id", "lang", F.concat(F.lit("𝒳 é "), F.col("text")).alias("text"))
+    return analysis.token_places(docs).select("doc_id", "tok", "s", "utf16")
+
+
 @query(r"""WITH p AS (SELECT conv_id * 1000 + turn AS doc_id, regexp_extract_all(text, '[\s\p{Z}\x{85}\x{0B}]+|[^\s\p{Z}\x{85}\x{0B}]+') AS ps FROM conversations),
 q AS (SELECT doc_id, unnest(ps) AS word, generate_subscripts(ps, 1) AS i FROM p),
 r AS (SELECT *, (sum(strlen(word)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS e FROM q)

@@ -138,12 +138,16 @@ SQL["noop_guard"] = WITH + """ SELECT doc_id, s, e, CASE WHEN fold = 'the' THEN
 FROM tagged WHERE fold IN ('the', 'and') OR (fold = 'of' AND text <> 'of')"""
 
 
-def disambig_actions(spark: SparkSession, d: str) -> DataFrame:
-    """DIS-3, DIS-4, DIS-5, DIS-6 as column functions on the tags of tokens"""
+def tag_actions(toks: DataFrame) -> DataFrame:
     t = F.col("tags")
     arr = lambda *xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
     cols = {"soft": disambiguation.replaced(t, arr("NN", "VB")), "more": disambiguation.added(t, arr("NN", "X")), "less": disambiguation.removed(t, "N.*", False), "only": disambiguation.filtered(t, arr("NN", "SENT_END")), "same": disambiguation.filtered(t, arr())}
-    return tagged(spark, d).filter("tok < 50").select("doc_id", "tok", *(F.array_join(c, " ").alias(n) for n, c in cols.items()))
+    return toks.select("doc_id", "tok", *(F.array_join(c, " ").alias(n) for n, c in cols.items()))
+
+
+def disambig_actions(spark: SparkSession, d: str) -> DataFrame:
+    """DIS-3, DIS-4, DIS-5, DIS-6 as column functions on the tags of each document's first 50 tokens"""
+    return tag_actions(tagged(spark, d).filter("tok < 50"))
 
 
 QUERIES["disambig_actions"] = disambig_actions
@@ -154,6 +158,15 @@ array_to_string(list_filter(tags, lambda x: NOT regexp_full_match(x, 'N.*')), '
 array_to_string(list_filter(tags, lambda x: x IN ('NN', 'SENT_END')), ' ') AS only, array_to_string(tags, ' ') AS same FROM tagged WHERE tok < 50"""
 
 
+def disambig_actions_all(spark: SparkSession, d: str) -> DataFrame:
+    """DIS-3, DIS-4, DIS-5, DIS-6 on the tags of all tokens"""
+    return tag_actions(tagged(spark, d))
+
+
+QUERIES["disambig_actions_all"] = disambig_actions_all
+SQL["disambig_actions_all"] = SQL["disambig_actions"].removesuffix(" WHERE tok < 50")
+
+
 def disambig_sequence(spark: SparkSession, d: str) -> DataFrame:
     """DIS-1, DIS-2: two rules in order over sentences, the second seeing what the first did"""
     pack = [

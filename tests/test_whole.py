@@ -24,3 +24,9 @@ def test_places_cover_all_tokens(spark):
     n = whole(spark, "tokenize_spans").count()
     assert whole(spark, "line_col_all").count() == n
     assert whole(spark, "utf16_spans_all").filter("tok >= 40").count() > 0
+
+
+def test_tag_actions_cover_all_tokens(spark):
+    got = whole(spark, "disambig_actions_all")
+    assert got.count() == whole(spark, "tokenize_spans").count()
+    assert got.filter("only like '%SENT_END%'").count() == whole(spark, "sentence_end_tags").count()

@@ -23,7 +23,7 @@ def strip_ansi(x: Column) -> Column:
 
 def number_after(x: Column, label: str) -> Column:
     """The first whole number behind a label, or null (FN-9)."""
-    found = F.regexp_extract(x, rf"{label}[^0-9]*([0-9]+)", 1)
+    found = F.regexp_extract(x, rf"(?s)\A(?>.*?{label})[^0-9]*+([0-9]+)", 1)  # from the first label on: linear in long texts
     return F.when(found != "", found.cast("bigint"))
 
 

@@ -40,12 +40,21 @@ def top_tags(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""SELECT doc_id, CASE WHEN length(text) > 12 THEN text[1:12] || '…' ELSE text END AS head, text[-9:] AS tail,
 CASE WHEN regexp_extract(text, 'the[^0-9]*([0-9]+)', 1) <> '' THEN regexp_extract(text, 'the[^0-9]*([0-9]+)', 1)::BIGINT END AS num, length(text) AS plain FROM documents WHERE n_chars < 400""")
 def text_helpers(spark: SparkSession, d: str) -> DataFrame:
-    """FN-9"""
-    docs = read(spark, d, "documents").filter("n_chars < 400")
+    """FN-9, on documents of under 400 characters; text_helpers_all has all"""
+    return helped(read(spark, d, "documents").filter("n_chars < 400"))
+
+
+def helped(docs: DataFrame) -> DataFrame:
     colour = F.concat(F.lit("\x1b[31m"), F.col("text"), F.lit("\x1b[0m"))
     return docs.select("doc_id", reports.truncate(F.col("text"), 12).alias("head"), reports.tail(F.col("text"), 9).alias("tail"), reports.number_after(F.col("text"), "the").alias("num"), F.char_length(reports.strip_ansi(colour)).cast("bigint").alias("plain"))
 
 
+@query(SQL["text_helpers"].removesuffix(" WHERE n_chars < 400"))
+def text_helpers_all(spark: SparkSession, d: str) -> DataFrame:
+    """FN-9, on all documents"""
+    return helped(read(spark, d, "documents"))
+
+
 @query("SELECT lang, count(*) AS docs, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY 1")
 def bytes_by_language(spark: SparkSession, d: str) -> DataFrame:
     """AGG-19"""

@@ -30,3 +30,10 @@ def test_tag_actions_cover_all_tokens(spark):
     got = whole(spark, "disambig_actions_all")
     assert got.count() == whole(spark, "tokenize_spans").count()
     assert got.filter("only like '%SENT_END%'").count() == whole(spark, "sentence_end_tags").count()
+
+
+def test_text_helpers_cover_all_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = whole(spark, "text_helpers_all")
+    assert got.count() == docs.count() > docs.filter("n_chars < 400").count()
+    assert got.agg({"plain": "max"}).first()[0] > 400

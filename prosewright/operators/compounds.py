@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from prosewright import config
+from prosewright.functions.text import capitalize_first, is_word
+
 MOST_PARTS, LEAST_BYTES = 8, 3
 
 
@@ -46,8 +49,44 @@ def split(words: DataFrame, known: list[str], links: tuple[str, ...]) -> DataFra
 def head_analyses(parts: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(word, lemma, tag): the head's analyses, as it is or capitalised, with the whole word as lemma (CMP-2)."""
     heads = parts.filter(F.size("parts") > 1).select("word", F.element_at("parts", -1).alias("head"))
-    both = heads.select("word", F.explode(F.array("head", F.initcap("head"))).alias("surface"), "head")
+    both = heads.select("word", F.explode(F.array_distinct(F.array(F.col("head"), capitalize_first(F.col("head"))))).alias("surface"), "head")
     met = both.join(lexicon.select("surface", "tag"), "surface")
     exact = met.filter("surface = head")
     other = met.filter("surface <> head").join(exact.select("word").distinct(), "word", "left_anti")
     return exact.unionByName(other).select("word", F.col("word").alias("lemma"), "tag").distinct()
+
+
+def known_parts(lexicon: DataFrame, lang: str) -> list[str]:
+    """Lower-cased words that the language's lexicon has as they are or capitalised."""
+    low = F.lower("surface")
+    own = lexicon.filter(F.col("lang") == lang).filter((F.col("surface") == low) | (F.col("surface") == capitalize_first(low)))
+    return [r.w for r in own.select(low.alias("w")).distinct().collect()]
+
+
+def found(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(lang, word, parts) of those of the distinct (lang, word) that split, in languages with linking elements (CMP-3)."""
+    out = words.sparkSession.createDataFrame([], "lang string, word string, parts array<string>")
+    for x in config.LANGS.values():
+        if x.links:
+            got = split(words.filter(F.col("lang") == x.code), known_parts(lexicon, x.code), x.links)
+            out = out.unionByName(got.filter(F.size("parts") > 1).select(F.lit(x.code).alias("lang"), "word", "parts"))
+    return out
+
+
+def with_heads(toks: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Tokens of analysis.lookup, where words without tags that split take their head's tags (CMP-2). Only such words,
+    none of them frequent as the lexicon lacks them, are joined; all other tokens pass by."""
+    bare: Column = (F.size("tags") == 0) & is_word(F.col("text")) & F.col("lang").isin(*(x.code for x in config.LANGS.values() if x.links))
+    bare = F.coalesce(bare, F.lit(False))
+    words = toks.filter(bare).select("lang", F.col("text").alias("word")).distinct()
+    parts = found(words, lexicon)
+    heads = toks.sparkSession.createDataFrame([], "lang string, text string, head_tags array<string>")
+    for x in config.LANGS.values():
+        if x.links:
+            own = head_analyses(parts.filter(F.col("lang") == x.code), lexicon.filter(F.col("lang") == x.code))
+            heads = heads.unionByName(own.groupBy(F.lit(x.code).alias("lang"), F.col("word").alias("text")).agg(F.array_sort(F.collect_set("tag")).alias("head_tags")))
+    met = toks.filter(bare).join(heads.hint("merge"), ["lang", "text"], "left")
+    none = F.col("head_tags").isNull()
+    tags, lemmas = F.when(none, F.col("tags")).otherwise(F.col("head_tags")), F.when(none, F.col("lemmas")).otherwise(F.array("text"))
+    met = met.withColumns({"tags": tags, "lemmas": lemmas}).select(*toks.columns)
+    return toks.filter(~bare).unionByName(met)

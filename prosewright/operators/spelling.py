@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from prosewright import config
 from prosewright.functions.text import recase, strip_marks
+from prosewright.operators import compounds
 
 SHORTEST, SUGGESTIONS = 3, 5
 
@@ -20,13 +21,15 @@ def checkable(text: Column, lang: Column) -> Column:
     return out
 
 
-def unknown_words(toks: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(lang, word, n): checkable lower-cased words outside the lexicon, by exact or lower-cased surface (JON-2)."""
+def unknown_words(toks: DataFrame, lexicon: DataFrame, split: bool = False) -> DataFrame:
+    """(lang, word, n): checkable lower-cased words outside the lexicon, by exact or lower-cased surface (JON-2). With
+    split, words that split into known ones count as known in languages that compound (CMP-3)."""
     words = toks.filter(checkable(F.col("text"), F.col("lang"))).groupBy("lang", strip_marks(F.col("text")).alias("surface")).agg(F.count("*").alias("n"))
     known = lexicon.select("lang", "surface").distinct()
     left = words.join(known, ["lang", "surface"], "left_anti").withColumn("word", F.lower("surface"))
     left = left.join(known.withColumnRenamed("surface", "word"), ["lang", "word"], "left_anti")
-    return left.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    left = left.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return left.join(compounds.found(left, lexicon).select("lang", "word").hint("merge"), ["lang", "word"], "left_anti") if split else left
 
 
 def _signatures(words: DataFrame, name: str) -> DataFrame:
@@ -60,9 +63,9 @@ def suggestions(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     return candidates(words, lexicon).groupBy("lang", "word").agg(F.slice(F.array_sort(F.collect_set("candidate")), 1, SUGGESTIONS).alias("suggestions"))
 
 
-def diagnostics(toks: DataFrame, lexicon: DataFrame) -> DataFrame:
+def diagnostics(toks: DataFrame, lexicon: DataFrame, split: bool = False) -> DataFrame:
     """SPELL diagnostics (§ L1): doc_id, s, e, code, message, suggestions, source, seq."""
-    words = unknown_words(toks, lexicon)
+    words = unknown_words(toks, lexicon, split)
     known = words.join(suggestions(words, lexicon), ["lang", "word"], "left").select("lang", "word", "suggestions")
     rows = toks.filter(checkable(F.col("text"), F.col("lang"))).withColumn("word", F.lower(strip_marks(F.col("text"))))
     exact = lexicon.select("lang", F.col("surface").alias("text")).distinct()

@@ -239,6 +239,29 @@ def differential_tally(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("doc_id").agg(F.count("*").alias("tokens"), F.count("hit").alias("same"))
 
 
+@query(None)
+def unknown_words_split(spark: SparkSession, d: str) -> DataFrame:
+    """PRD-1, JON-2, CMP-3: unknown words that are no compounds of known ones either"""
+    toks = tokens(spark, d)
+    return spelling.unknown_words(toks, lexicon(spark, toks), split=True)
+
+
+@query(None)
+def spelling_diagnostics_split(spark: SparkSession, d: str) -> DataFrame:
+    """L1 over unknown_words_split"""
+    toks = tokens(spark, d)
+    return spelling.diagnostics(toks, lexicon(spark, toks), split=True).select("doc_id", "s", "e", F.array_join("suggestions", "|").alias("suggestions"))
+
+
+@query(None)
+def tag_tokens_split(spark: SparkSession, d: str) -> DataFrame:
+    """TAG-1, TAG-4, CMP-2: compounds take their head's tags, before the structural ones"""
+    toks = tokens(spark, d)
+    lex = lexicon(spark, toks)
+    out = analysis.structural(compounds.with_heads(analysis.lookup(toks, analysis.group_lexicon(lex)), lex))
+    return out.select("doc_id", "tok", "text", F.array_join("tags", " ").alias("tags"), F.array_join("lemmas", " ").alias("lemmas"))
+
+
 PARTS = ("haus", "tür", "arbeit", "zimmer", "stadt", "garten", "bahn", "hof")
 
 

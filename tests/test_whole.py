@@ -1,7 +1,9 @@
 """Queries over whole documents, where an earlier one of the same operator keeps a part."""
 
 import __spark_entry__
-from prosewright.operators import analysis
+from prosewright import config
+from prosewright.operators import analysis, compounds, spelling
+from prosewright.plans.base import lexicon, tokens
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,3 +39,27 @@ def test_text_helpers_cover_all_documents(spark):
     got = whole(spark, "text_helpers_all")
     assert got.count() == docs.count() > docs.filter("n_chars < 400").count()
     assert got.agg({"plain": "max"}).first()[0] > 400
+
+
+def test_compounds_are_known_and_tagged_by_their_head(spark):
+    lex = spark.createDataFrame([("de", "Haus", "Haus", "SUB:NEU"), ("de", "tür", "tür", "X"), ("de", "Tür", "Tür", "SUB:FEM"), ("de", "Zimmer", "Zimmer", "SUB:NEU"), ("de", "arbeit", "arbeit", "A"), ("en", "door", "door", "NN"), ("en", "house", "house", "NN")], "lang string, surface string, lemma string, tag string")
+    docs = spark.createDataFrame([(1, "de", "Haustür Arbeitszimmer Haus Hausx haustür."), (2, "en", "housedoor door")], "doc_id bigint, lang string, text string")
+    toks = analysis.tokens(docs)
+    words = lambda **k: {(r.lang, r.word) for r in spelling.unknown_words(toks, lex, **k).collect()}
+    assert words() - words(split=True) == {("de", "arbeitszimmer")} and words(split=True) == {("de", "hausx"), ("en", "housedoor")}
+    hits = {r.s for r in spelling.diagnostics(toks, lex, split=True).filter("doc_id = 1").collect()}
+    assert hits == {len("Haustür Arbeitszimmer Haus ".encode())}
+    got = {(r.doc_id, r.text): (r.tags, r.lemmas) for r in analysis.structural(compounds.with_heads(analysis.lookup(toks, analysis.group_lexicon(lex)), lex)).collect()}
+    assert len(got) == toks.count()
+    assert got[1, "Haustür"] == (["X"], ["Haustür"]) and got[1, "Arbeitszimmer"] == (["SUB:NEU"], ["Arbeitszimmer"]) and got[1, "haustür"] == (["X"], ["haustür"])
+    assert got[1, "Hausx"][0] == [config.LANGS["de"].name_tag] and got[2, "housedoor"][0] == [config.UNKNOWN] and got[2, "door"][0] == ["NN", "SENT_END"]
+
+
+def test_no_unknown_word_splits(spark):
+    toks = tokens(spark, SF)
+    lex = lexicon(spark, toks).cache()
+    known = {x.code: {r.surface for r in lex.collect() if r.lang == x.code} for x in config.LANGS.values()}
+    plain = {(r.lang, r.word, r.n) for r in spelling.unknown_words(toks, lex).collect()}
+    want = {(a, w, n) for a, w, n in plain if not (config.LANGS[a].links and compounds.parts_of(w, known[a], config.LANGS[a].links))}
+    assert {tuple(r) for r in whole(spark, "unknown_words_split").select("lang", "word", "n").collect()} == want
+    assert whole(spark, "tag_tokens_split").count() == toks.count()

@@ -232,7 +232,7 @@ def oracle_score(spark: SparkSession, d: str) -> DataFrame:
 seen AS (SELECT pert.*, coalesce(x.n, 0) > coalesce(y.n, 0) AS better FROM pert LEFT JOIN bi x ON x.w1 = pl AND x.w2 = low LEFT JOIN bi y ON y.w1 = pl AND y.w2 = wrong)
 SELECT count(*) AS perturbations, count_if(better) AS tp, count_if(NOT better) AS fn FROM seen""")
 def perturb_recall(spark: SparkSession, d: str) -> DataFrame:
-    """AGG-9, JON-20: each confusable word replaced, recovered where the left bigram prefers the truth"""
+    """JON-20: each confusable word replaced, and how often the left bigram prefers the truth; layer3_recall runs layer 3"""
     from pyspark.sql import Window as W
 
     t = tables(spark, d)
@@ -244,6 +244,13 @@ def perturb_recall(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.recall(bad, fixes, ["doc_id", "tok", "wrong"])
 
 
+@query(None)
+def layer3_recall(spark: SparkSession, d: str) -> DataFrame:
+    """AGG-9, JON-20: each confusable word replaced and judged by layer 3, with its flags on the text as it is"""
+    t = tables(spark, d)
+    return evaluation.layer3_recall(tagged(spark, d), t["pairs"], t["bi"], t["uni"], t["lpos"], t["rpos"], EVIDENCE)
+
+
 @query("""WITH s AS (SELECT (doc_id * 37 % 101) / 100.0::DOUBLE AS score, quality = 1 AS truth FROM labels), g(threshold) AS (VALUES (0.1::DOUBLE), (0.3), (0.5), (0.7), (0.9)),
 c AS (SELECT threshold, count_if(score >= threshold AND truth) AS tp, count_if(score >= threshold AND NOT truth) AS fp, count_if(score < threshold AND truth) AS fn FROM s, g GROUP BY 1)
 SELECT threshold, tp, fp, fn, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 1.25 * (tp / (tp + fp)) * (tp / (tp + fn)) / (0.25 * (tp / (tp + fp)) + tp / (tp + fn)) AS f05 FROM c""")

@@ -2,7 +2,7 @@
 
 import __spark_entry__
 from prosewright import config
-from prosewright.operators import analysis, compounds, spelling
+from prosewright.operators import analysis, compounds, confusion, evaluation, spelling
 from prosewright.plans.base import lexicon, tokens
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +63,29 @@ def test_no_unknown_word_splits(spark):
     want = {(a, w, n) for a, w, n in plain if not (config.LANGS[a].links and compounds.parts_of(w, known[a], config.LANGS[a].links))}
     assert {tuple(r) for r in whole(spark, "unknown_words_split").select("lang", "word", "n").collect()} == want
     assert whole(spark, "tag_tokens_split").count() == toks.count()
+
+
+def test_layer3_recall_replaces_words_and_runs_layer3(spark):
+    pairs = spark.createDataFrame([("their", "there", 0, 10.0, True), ("than", "then", 1, 10.0, False), ("there", "then", 2, 10.0, True)], "a string, b string, ord int, factor float, symmetric boolean")
+    docs = spark.createDataFrame([(1, "en", "over there is one of their cars then and There is"), (2, "en", "their is their cars"), (3, "en", "then")], "doc_id bigint, lang string, text string")
+    toks = analysis.tokens(docs).withColumn("tags", analysis.F.array(analysis.F.lit("X"))).cache()
+    grams = spark.createDataFrame([("over", "there", 90), ("there", "is", 99), ("of", "their", 70), ("their", "cars", 80), ("cars", "then", 3)], "w1 string, w2 string, n bigint")
+    counts = spark.createDataFrame([("there", 100), ("their", 100), ("then", 100), ("than", 100)], "w string, n bigint")
+    none = [spark.createDataFrame([], x) for x in ("pos string, member string, n bigint", "member string, pos string, n bigint")]
+    model = (pairs, grams, counts, *none, 5)
+    back = {}
+    for p in pairs.collect():
+        back.setdefault(p.b, set()).add(p.a)
+        if p.symmetric:
+            back.setdefault(p.a, set()).add(p.b)
+    rows = toks.collect()
+    cases = [(t, w) for t in rows for w in sorted(back.get(t.text.lower(), ()))]
+    made = []  # each case as a document of its own, with one word replaced
+    for k, (t, w) in enumerate(cases):
+        made += [(k, *r[1:3], r.tok, w if r.tok == t.tok else r.text, *r[5:]) for r in rows if r.doc_id == t.doc_id]
+    run = lambda x: confusion.diagnostics(confusion.scored(x, *model)).collect()
+    found = {(r.doc_id, r.seq): r.suggestions[0].lower() for r in run(spark.createDataFrame(made, toks.schema))}
+    tp = sum(found.get((k, t.tok)) == t.text.lower() for k, (t, _) in enumerate(cases))
+    fp = len(run(toks))
+    got = evaluation.layer3_recall(toks, *model).collect()
+    assert [tuple(r) for r in got] == [(len(cases), tp, len(cases) - tp, fp)] and 0 < tp < len(cases) and fp > 0

@@ -1,9 +1,14 @@
 """The stages one by one against what each must keep, on the smallest tables."""
 
+import string
+
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from prosewright.llm.common import documents
 
 SF = "/root/testdata/sf0.001"
+LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
 def test_stages(spark, tmp_path):
@@ -23,3 +28,16 @@ def test_stages(spark, tmp_path):
         else:
             assert n == rows
         docs, rows = got, n
+
+
+def test_exact_stage_keeps_the_ids_of_plain_python(spark):
+    docs = documents(spark, SF)
+    copies = docs.filter("doc_id % 5 = 0").withColumn("doc_id", docs.doc_id + 10**6).withColumn("text", F.upper("text"))
+    both = docs.unionByName(copies)
+    stays = {}
+    for r in both.select("doc_id", "text").collect():
+        key = (r.text or "").translate(LOWER)
+        stays[key] = max(stays.get(key, r.doc_id), r.doc_id)
+    stage = dict(corpus_pipeline.STAGES)["exact dedup"]
+    got = [r.doc_id for r in stage(spark, both, SF).select("doc_id").collect()]
+    assert sorted(got) == sorted(stays.values()) and len(got) < both.count()

@@ -10,11 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The most rows that a broadcast side may have; every broadcast table here has rows of under 200 bytes.
-BROADCAST_ROWS = 200_000
+#: The most bytes that a broadcast side may have, as counted rows times a bound on the bytes of a row.
+BROADCAST_BYTES = 24 << 20
+#: Copies of each hot summary that is too large to broadcast.
+SALTS = 64
+_local_folders: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -24,9 +27,10 @@ def scratch_dir(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-    folder = "file://" + tempfile.mkdtemp(prefix="scratch-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = "file://" + tempfile.mkdtemp(prefix="scratch-")
+    return _local_folders[app]
 
 
 class Scratch:
@@ -46,27 +50,58 @@ class Scratch:
         out.scratch_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a table that nothing will read again."""
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    def exists(self, path: str) -> bool:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+    def drop(self, *tables: DataFrame | str) -> None:
+        """Deletes tables (or paths) that nothing will read again."""
+        for t in tables:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(t if isinstance(t, str) else t.scratch_path)
+            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+    def result(self, df: DataFrame, name: str = "result") -> DataFrame:
+        """Writes df under a folder of its own and deletes all other tables of this scratch."""
+        old, self.root = self.root, f"{self.root}-{name}"
+        out = self.table(df, name)
+        self.drop(old)
+        return out
 
 
-def join_by_size(left: DataFrame, right: DataFrame, on: str | list[str], how: str, rows: int) -> DataFrame:
-    """Broadcasts right when its counted rows are within BROADCAST_ROWS, and shuffles both sides otherwise."""
-    return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right.hint("merge"), on, how)
+def join_by_size(left: DataFrame, right: DataFrame, on: str | list[str], how: str, rows: int, width: int = 128) -> DataFrame:
+    """Broadcasts right when its counted rows, of at most width bytes each, are within BROADCAST_BYTES, and shuffles
+    both sides otherwise."""
+    return left.join(F.broadcast(right) if rows * width <= BROADCAST_BYTES else right.hint("merge"), on, how)
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str, total: int, parts: int = 500) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str, total: int, parts: int = 500, width: Column | None = None) -> DataFrame:
     """Inner join of rows with one summary row for each key, where one key may hold a large share of the rows.
 
     size is the column of groups that counts a key's rows, total their sum. Keys with over total/parts rows number
     fewer than parts, so their summaries are broadcast; all other keys meet by a shuffle, in which none is large.
+    width is the bytes of a summary where no small bound is known: if the hot ones together pass BROADCAST_BYTES, they
+    are repeated SALTS times and their rows dealt over the repetitions instead.
     """
     hot = groups.filter(F.col(size) * parts > total)
     cold = groups.filter(F.col(size) * parts <= total)
-    ids = hot.select(*key)
-    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(ids), key, "left_anti").join(cold.hint("merge"), key))
+    ids = F.broadcast(hot.select(*key))
+    rest = rows.join(ids, key, "left_anti").join(cold.hint("merge"), key)
+    if width is None or (hot.agg(F.sum(width)).first()[0] or 0) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(hot), key).unionByName(rest)
+    dealt = hot.withColumn("g_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = rows.join(ids, key, "left_semi").withColumn("g_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return met.join(dealt.hint("merge"), [*key, "g_salt"]).drop("g_salt").unionByName(rest)
+
+
+def boxed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """docs as one struct column g_box, beside the keys that are computed from its columns; so no name can clash."""
+    whole = F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("g_box")
+    return docs.select(whole, *(v.alias(k) for k, v in keys.items()))
+
+
+def unboxed(df: DataFrame, *more: Column) -> DataFrame:
+    """The columns of g_box again, and more behind them."""
+    return df.select("g_box.*", *more)
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:

@@ -12,9 +12,11 @@ over WORDS words, of one line or more, occur again in each of its copies, and to
 
 Only hashes shuffle for the counts, and then the bytes of repeated chunks alone. A chunk that a large share of all
 documents holds is one key: its counts add up before the shuffle, and its occurrences meet the first one in the join
-of hot keys. Defined results: a null text counts as empty and has no chunk; lines without a word count as lines; a
-chunk of one line stays unless it is a passage; a null doc_id sorts last among occurrences; rows equal in
-doc_id and text are one document and get the same result; texts that lose all lines become empty; an empty table gives an empty result; other columns
+of hot keys, by broadcast while the hot bytes are few and dealt over copies of them otherwise.
+
+Defined results: a null text counts as empty and has no chunk; lines without a word count as lines; a chunk of one line
+stays unless it is a passage; a null doc_id sorts last among occurrences; rows equal in doc_id and text are one document
+and get the same result; texts that lose all lines become empty; an empty table gives an empty result; other columns
 are ignored.
 """
 
@@ -109,14 +111,17 @@ def chunks(rows: DataFrame, whole: bool) -> DataFrame:
                     chunk = b"\n".join(lines[a:b])
                     out.append((row, doc, k, np.uint64(xxhash.xxh3_64_intdigest(chunk)).astype(np.int64), len(chunk)))
             if out:
-                cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
+                cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, ["row", "doc", "k", "h", "size"])
 
-    return rows.select("row", "doc", "text").mapInArrow(lean(run), "row bigint, doc bigint, k int, h bigint, size bigint")
+    return rows.select("row", "doc", "text").mapInArrow(lean(run), "row binary, doc bigint, k int, h bigint, size bigint")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), F.xxhash64("doc_id", "text").alias("row"), "text")
+    """row names a row by 128 bits of the SHA-256 of its doc_id and text."""
+    whole = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
+    row = F.unhex(F.substring(F.sha2(whole.cast("binary"), 256), 1, 32))
+    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("doc"), row.alias("row"), "text")
 
 
 def removed_chunks(docs: DataFrame, scratch: Scratch, whole: bool) -> DataFrame:
@@ -135,14 +140,14 @@ def confirm(rows: DataFrame, again: DataFrame, n: int, scratch: Scratch, whole:
     """The n occurrences, less those whose bytes differ from the first one's. The bytes of repeated chunks are cut out
     of the texts once; while the occurrences may be broadcast, the texts stay where they are."""
     wanted = again.groupBy("row").agg(F.collect_set("k").alias("ks"))
-    cut = scratch.table(picked(join_by_size(rows, wanted, "row", "inner", n), whole).distinct(), "bytes")
+    cut = scratch.table(picked(join_by_size(rows, wanted, "row", "inner", n, 64), whole).distinct(), "bytes")
     told = again.distinct().join(cut.hint("merge"), ["row", "k"])
     is_first = (F.col("first.row") == F.col("row")) & (F.col("first.k") == F.col("k"))
     firsts = told.filter(is_first).select("h", "size", "n", F.col("chunk").alias("first_chunk"))
     others = told.filter(~is_first).select("h", "size", "row", "k", "chunk")
     firsts = scratch.table(firsts, "firsts")
     total = firsts.agg(F.sum("n")).first()[0] or 0
-    same = join_groups(others, firsts, ["h", "size"], "n", total).filter("chunk = first_chunk")
+    same = join_groups(others, firsts, ["h", "size"], "n", total, width=F.col("size")).filter("chunk = first_chunk")
     return scratch.table(same.groupBy("row").agg(F.array_sort(F.collect_set("k")).alias("ks")), "removed")
 
 
@@ -157,9 +162,9 @@ def picked(rows: DataFrame, whole: bool) -> DataFrame:
                 spans = ranges(lines, whole)
                 out += [(row, k, b"\n".join(lines[slice(*spans[k])])) for k in ks]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["row", "k", "chunk"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int32(), pa.binary()), strict=True)], ["row", "k", "chunk"])
 
-    return rows.select("row", "ks", "text").mapInArrow(lean(run), "row bigint, k int, chunk binary")
+    return rows.select("row", "ks", "text").mapInArrow(lean(run), "row binary, k int, chunk binary")
 
 
 def line_dedup(docs: DataFrame, passages: bool = False) -> DataFrame:
@@ -191,7 +196,7 @@ def line_dedup(docs: DataFrame, passages: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "text", "n_lines", "n_removed_lines", "n_removed_chunks", "text_sha256", "spans"])
 
     n = gone.agg(F.sum(F.size("ks"))).first()[0] or 0
-    joined = join_by_size(rows, gone, "row", "left", n).select("doc_id", "text", "ks")
+    joined = join_by_size(rows, gone, "row", "left", n, 64).select("doc_id", "text", "ks")
     return joined.mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)['doc_id']}, text string, n_lines bigint, n_removed_lines bigint, n_removed_chunks bigint, text_sha256 string, spans array<array<bigint>>")
 
 

@@ -8,14 +8,16 @@ each pass over the source takes the blocks in an order of its own and the docume
 own. Whole passes come first; the last one stops at the document that reaches the budget.
 
 Sums over sources run distributed: every step of the bisection evaluates GRID exponents at once in one aggregate, and
-the driver gets GRID numbers. A source that holds a large share of the rows is many blocks, and order within a pass is
-found from blocks' totals first and inside the one block where the budget ends after that. A source has at most
-MOST_BLOCKS blocks.
+the driver gets GRID numbers. A source that holds a large share of the rows is many blocks. A pass that is read whole
+needs no plan; for the one that ends early, the place where it ends is found from totals of groups of GROUP blocks, then
+of the blocks of one group, then of the documents of one block. That place, one row a source, is all that the texts
+meet: they neither move nor sort.
 
 Defined results: tokens are words (runs without white space), and a document without any counts as one token; a null
-source is a source of its own; null doc_ids and repeated rows are documents like any other, ordered by their hash and
-then at will among equals; one source alone has weight 1; an empty table gives an empty result; columns of docs stay,
-and the added ones are named mix_pass and mix_order (existing columns of these names are dropped).
+source is a source of its own; null doc_ids and repeated rows are documents like any other; documents equal in doc_id,
+source and text have the same place in a pass and are read or left together; one source alone has weight 1; an empty
+table gives an empty result; columns of docs stay, whatever their names, and the added ones are named mix_pass and
+mix_order (existing columns of these names are dropped).
 """
 
 from __future__ import annotations
@@ -26,9 +28,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from prosewright.llm.common import Scratch, documents, join_groups
+from prosewright.llm.common import BROADCAST_BYTES, Scratch, boxed, documents, join_groups, unboxed
 
-BLOCK_TOKENS, MOST_BLOCKS, GRID, TURNS = 200_000, 4096, 32, 6
+BLOCK_TOKENS, GROUP, GRID, TURNS = 200_000, 4096, 32, 6
 ENTROPY, REPEATS, SEED = 0.97, 1.25, 17
 
 
@@ -92,52 +94,69 @@ def weigh(sizes: DataFrame, entropy: float | None = ENTROPY, repeats: float | No
     return raised.select("g_source", "tokens", "docs", weight.alias("weight"), (passes * F.col("tokens")).alias("target"), passes.alias("passes"))
 
 
+def placed(source: Column, doc_id: Column, text: Column, seed: int) -> dict[str, Column]:
+    return {"g_source": F.coalesce(source.cast("string"), F.lit("\x00")), "g_hash": F.xxhash64(doc_id, text, F.lit(seed))}
+
+
+def block_order(turn: Column, block: Column, seed: int) -> Column:
+    """Where a block comes in a pass over its source: groups in an order of their own, and the blocks of each."""
+    group = F.floor(block / GROUP)
+    return F.struct(F.xxhash64(group, turn, F.lit(seed)).alias("group_hash"), group.alias("group"), F.xxhash64(block, turn, F.lit(seed + 1)).alias("block_hash"), block.alias("block"))
+
+
+def doc_order(turn: Column) -> Column:
+    return F.xxhash64("g_hash", turn)
+
+
 def mix_documents(docs: DataFrame, entropy: float | None = ENTROPY, repeats: float | None = None, budget: int | None = None, seed: int = SEED) -> DataFrame:
     """docs with mix_pass and mix_order: a row for each time that a document is read. Order is by (pass, order)."""
     scratch = Scratch(docs.sparkSession, "mix")
     docs = docs.drop("mix_pass", "mix_order")
-    rows = docs.withColumn("g_source", F.coalesce(F.col("source").cast("string"), F.lit("\x00"))).withColumn("g_tokens", n_words(F.col("text")))
-    rows = rows.withColumn("g_hash", F.xxhash64("doc_id", F.lit(seed)))
-    light = scratch.table(rows.select("g_source", "g_hash", "g_tokens"), "tokens")
-    plan, total = plan_blocks(light, scratch, entropy, repeats, budget, seed)
-    sized = plan.groupBy("g_source", "blocks").agg(F.first("docs").alias("docs"))
-    placed = join_groups(rows, sized, ["g_source"], "docs", total).withColumn("block", F.pmod("g_hash", F.col("blocks")))
-    cuts = plan.select("g_source", "block", "block_docs", "pass", "place", "last_hash")
-    per_block = cuts.groupBy("g_source", "block").agg(F.first("block_docs").alias("block_docs"), F.collect_list(F.struct("pass", "place", "last_hash")).alias("reads"))
-    met = join_groups(placed.drop("docs", "blocks"), scratch.table(per_block, "reads"), ["g_source", "block"], "block_docs", total)
-    read = met.select(*docs.columns, "g_hash", F.explode("reads").alias("r"))
-    order = F.xxhash64("g_hash", "r.pass")
-    read = read.filter(F.col("r.last_hash").isNull() | (order <= F.col("r.last_hash")))
-    return read.select(*docs.columns, F.col("r.pass").alias("mix_pass"), F.struct(F.col("r.place"), order.alias("hash")).alias("mix_order"))
-
-
-def plan_blocks(light: DataFrame, scratch: Scratch, entropy: float | None, repeats: float | None, budget: int | None, seed: int) -> tuple[DataFrame, int]:
-    """One row for each block and pass that reads it: (g_source, block, pass, place, last_hash), with the block's and
-    source's sizes; last_hash is null where the block is read whole, else the order hash of the last document read."""
-    sizes = scratch.table(light.groupBy("g_source").agg(F.sum("g_tokens").alias("tokens"), F.count("*").alias("docs")), "sources")
+    where = placed(F.col("source"), F.col("doc_id"), F.col("text"), seed)
+    light = docs.select(*(v.alias(k) for k, v in where.items()), n_words(F.col("text")).alias("g_tokens"))
+    light = light.groupBy("g_source", "g_hash").agg(F.sum("g_tokens").alias("g_tokens"), F.count("*").alias("g_docs"))
+    plan, total = plan_reads(scratch.table(light, "tokens"), scratch, entropy, repeats, budget, seed)
+    sources, rows = plan.count(), boxed(docs, **where)
+    met = rows.join(F.broadcast(plan), "g_source") if sources * 256 <= BROADCAST_BYTES else join_groups(rows, plan, ["g_source"], "docs", total)
+    last = F.when(F.col("whole") > 0, F.sequence(F.lit(0), F.col("whole") - 1)).otherwise(F.array().cast("array<int>"))
+    met = met.withColumn("block", F.pmod("g_hash", "blocks"))
+    here = F.struct(block_order(F.col("whole"), F.col("block"), seed).alias("b"), doc_order(F.col("whole")).alias("d"))
+    met = met.withColumn("pass", F.explode(F.concat(last, F.when(here <= F.col("end"), F.array("whole")).otherwise(F.array().cast("array<int>")))))
+    order = F.struct(block_order(F.col("pass"), F.col("block"), seed).alias("block"), doc_order(F.col("pass")).alias("hash"))
+    return unboxed(met, F.col("pass").alias("mix_pass"), order.alias("mix_order"))
+
+
+def plan_reads(light: DataFrame, scratch: Scratch, entropy: float | None, repeats: float | None, budget: int | None, seed: int) -> tuple[DataFrame, int]:
+    """One row a source: g_source, docs, blocks, whole (passes read whole) and end, the place of the last document of the
+    pass after them, or null where there is none. light holds each place with its tokens and documents."""
+    sizes = scratch.table(light.groupBy("g_source").agg(F.sum("g_tokens").alias("tokens"), F.sum("g_docs").alias("docs")), "sources")
     total = sizes.agg(F.sum("docs")).first()[0] or 0
-    weights = scratch.table(weigh(sizes, entropy, repeats, budget), "weights")
-    blocks = F.greatest(F.least(F.ceil(F.col("tokens") / BLOCK_TOKENS), F.lit(MOST_BLOCKS)), F.lit(1)).cast("long")
-    weights = weights.withColumn("blocks", blocks)
-    dealt = join_groups(light, weights.select("g_source", "docs", "blocks"), ["g_source"], "docs", total)
-    dealt = dealt.withColumn("block", F.pmod("g_hash", F.col("blocks")))
-    dealt = scratch.table(dealt.select("g_source", "block", "g_hash", "g_tokens"), "dealt")
-    totals = dealt.groupBy("g_source", "block").agg(F.sum("g_tokens").alias("block_tokens"), F.count("*").alias("block_docs"))
-    passes = totals.join(weights, "g_source").withColumn("pass", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil("passes") - 1, F.lit(0)).cast("int"))))
-    turn = W.partitionBy("g_source", "pass").orderBy(F.xxhash64("block", "pass", F.lit(seed)), "block")
-    left = F.col("target") - F.col("pass") * F.col("tokens")
-    passes = passes.withColumn("before", F.coalesce(F.sum("block_tokens").over(turn.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("place", F.row_number().over(turn) - 1)
-    passes = passes.withColumn("room", left - F.col("before")).filter("room > 0")
-    passes = scratch.table(passes, "passes")
-    # half a token of slack: a target that equals the tokens up to rounding takes the block whole
-    whole = passes.filter("block_tokens <= room + 0.5").withColumn("last_hash", F.lit(None).cast("bigint"))
-    partial = passes.filter("block_tokens > room + 0.5")
-    inside = dealt.join(partial.select("g_source", "block", "pass", "room"), ["g_source", "block"]).withColumn("order", F.xxhash64("g_hash", "pass"))
-    upto = F.coalesce(F.sum("g_tokens").over(W.partitionBy("g_source", "block", "pass").orderBy("order").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    last = inside.withColumn("upto", upto).filter("upto < room").groupBy("g_source", "block", "pass").agg(F.max("order").alias("last_hash"))
-    cut = partial.join(last, ["g_source", "block", "pass"])
-    keep = ["g_source", "block", "pass", "place", "last_hash", "docs", "blocks", "block_docs", "block_tokens"]
-    return scratch.table(whole.select(*keep).unionByName(cut.select(*keep)), "plan"), total
+    # a thousandth of a token of slack: a target that equals whole passes up to rounding is met by them
+    whole = F.floor((F.col("target") + 1e-3) / F.col("tokens")).cast("int")
+    weights = weigh(sizes, entropy, repeats, budget).withColumn("whole", whole).withColumn("room", F.col("target") - F.col("whole") * F.col("tokens"))
+    weights = scratch.table(weights.withColumn("blocks", F.greatest(F.ceil(F.col("tokens") / BLOCK_TOKENS), F.lit(1)).cast("long")), "weights")
+    needed = weights.filter("room > 0.001").select("g_source", "docs", "blocks", "whole", "room")
+    dealt = join_groups(light, needed, ["g_source"], "docs", total)
+    order = block_order(F.col("whole"), F.pmod("g_hash", "blocks"), seed)
+    dealt = scratch.table(dealt.select("g_source", "room", order.alias("b"), doc_order(F.col("whole")).alias("d"), "g_tokens"), "dealt")
+    totals = dealt.groupBy("g_source", "room", "b").agg(F.sum("g_tokens").alias("sum"))
+    totals = scratch.table(totals.withColumn("g", F.struct("b.group_hash", "b.group")), "totals")
+    group = last_in_room(totals.groupBy("g_source", "room", "g").agg(F.sum("sum").alias("sum")), "g", scratch)
+    block = last_in_room(totals.join(group.select("g_source", "room", "g", "left"), ["g_source", "room", "g"]), "b", scratch)
+    inside = dealt.join(block.select("g_source", "room", "b", "left"), ["g_source", "room", "b"])
+    doc = last_in_room(inside.withColumnRenamed("g_tokens", "sum"), "d", scratch)
+    ends = block.select("g_source", "b").join(doc.select("g_source", "d"), "g_source").select("g_source", F.struct("b", "d").alias("end"))
+    return scratch.table(weights.select("g_source", "docs", "blocks", "whole").join(ends, "g_source", "left"), "plan"), total
+
+
+def last_in_room(rows: DataFrame, key: str, scratch: Scratch) -> DataFrame:
+    """Of each source's rows, in the order of key: the last one that begins within the room (or left, where that is
+    given), and in left what room it has."""
+    room = F.col("left") if "left" in rows.columns else F.col("room")
+    before = F.coalesce(F.sum("sum").over(W.partitionBy("g_source").orderBy(key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("left", room - before).filter("left > 0")
+    last = rows.groupBy("g_source").agg(F.max(F.struct(key, "room", "left")).alias("m"))
+    return scratch.table(last.select("g_source", f"m.{key}", "m.room", "m.left"), f"last-{key}")
 
 
 def kept_documents(docs: DataFrame, repeats: float = REPEATS) -> DataFrame:
@@ -147,4 +166,4 @@ def kept_documents(docs: DataFrame, repeats: float = REPEATS) -> DataFrame:
 
 def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_documents(documents(spark, sf_dir))
-    return mixed.select("doc_id", "source", "mix_pass", F.col("mix_order.place").alias("mix_place"), F.col("mix_order.hash").alias("mix_hash"))
+    return mixed.select("doc_id", "source", "mix_pass", F.col("mix_order.block.group_hash").alias("mix_group"), F.col("mix_order.block.block_hash").alias("mix_block"), F.col("mix_order.hash").alias("mix_hash"))

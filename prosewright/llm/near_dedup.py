@@ -4,18 +4,22 @@ Each document's set of word shingles gets minwise coordinates. Equal sets form o
 independent random trees: at a node a document follows one or two of its minwise tokens, chosen by the node alone, so
 that a pair of similarity J follows a common path with chance J at each choice, and there is a little over 1/threshold
 choices a level. A node of at most LEAF classes is a leaf; larger nodes branch on. Leaves are compared exhaustively:
-first their sketches, which drops what is clearly dissimilar, and then the full sets, which decides each link.
+first their sketches, which drops what is clearly dissimilar, and then the full sets, which decides each link. The
+texts of what may be similar are compared in blocks of at most BLOCK_BYTES, and a pair of blocks is one task's work, so
+neither many nor long members of a leaf fill a task's memory.
 
-A node that is still large after ROUNDS of branching holds classes that are nearly all alike. It is dealt into leaves
-of a few pivots and a share of the rest, so no task gets it whole; members that end in another component than
-the node's main one are then compared with every member. No partner or candidate is capped.
+A node that is still large after ROUNDS of branching holds classes that are nearly all alike: a round goes down as many
+levels as would suffice if each halved the node, so classes of similarity 0.5 are apart after the first. It is dealt
+into leaves of a few pivots and a share of the rest, so no task gets it whole; members that end in another component
+than the node's main one are then compared with every member, by sketches first. No partner or candidate is capped.
 
 Links become components by alternating star contraction. Only 64-bit keys, sketches and candidate texts shuffle.
 
 Defined results: A-Z is lower-cased, words are runs without ASCII white space; a document with fewer words than a
 shingle has its whole word sequence as the one shingle; null or empty texts have no shingles and link with nothing;
 a null doc_id links with nothing and is kept; rows that share a doc_id count as one document, linked by any of their
-texts; an empty table gives an empty result; other columns are ignored. Shingles are compared as 64-bit hashes.
+texts, in near_duplicates, while kept_documents takes each text by itself, so that a text goes only if it is linked with
+one that stays; an empty table gives an empty result; other columns are ignored. Shingles are compared as 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,14 +30,16 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosewright.llm.common import Scratch, documents, join_by_size, join_groups, lean, mix, runs, small_batches
+from prosewright.llm.common import Scratch, boxed, documents, join_by_size, join_groups, lean, mix, runs, small_batches, unboxed
 
 TREES, LEAF, ROUNDS, PIVOTS, SKETCH = 16, 3000, 4, 4, 128
 #: Cells of the bit matrix, and shingles, that are compared at once; words whose hashes are remembered.
 CELLS, AT_ONCE, MEMO = 1 << 24, 1 << 20, 100_000
+#: Bytes of the texts of a block of a cluster.
+BLOCK_BYTES = 8 << 20
 #: Standard errors that the sketches' estimate may lie below the threshold.
 SLACK = 4.0
 
@@ -79,7 +85,8 @@ def root_choices(trees: int, threshold: float) -> list[int]:
 
 
 def describe(docs: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Of each row: doc_id, n_shingles, a 128-bit signature of the set, its sketch, and its keys at the trees' roots."""
+    """Of each row: doc_id, what names its text (h, g, bytes), n_shingles, a 128-bit signature of the set, its sketch,
+    and its keys at the trees' roots."""
     roots = len(root_choices(TREES, threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,16 +112,22 @@ def describe(docs: DataFrame, k: int, threshold: float) -> DataFrame:
                 signs = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(lo, len(sets)).cast(pa.int64()),
+                        *(batch.column(c).slice(lo, len(sets)) for c in ("doc_id", "h", "g", "bytes")),
                         pa.array(sizes),
                         pa.array(signs, pa.binary()),
                         pa.array([c.tobytes() for c in np.ascontiguousarray(sketch.T)], pa.binary()),
                         pa.array(list(np.ascontiguousarray(keys.T).view(np.int64)), pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n_shingles", "sign", "sketch", "roots"],
+                    ["doc_id", "h", "g", "bytes", "n_shingles", "sign", "sketch", "roots"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id bigint, n_shingles bigint, sign binary, sketch binary, roots array<bigint>")
+    rows = docs.select(*(v.alias(c) for c, v in names().items()), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("bytes"), "text")
+    return rows.mapInArrow(lean(run), "doc_id bigint, h bigint, g bigint, bytes bigint, n_shingles bigint, sign binary, sketch binary, roots array<bigint>")
+
+
+def names() -> dict[str, Column]:
+    """What names a row's text: its doc_id and a 128-bit hash of the text, in two halves."""
+    return {"doc_id": F.col("doc_id").cast("bigint"), "h": F.xxhash64("text"), "g": F.xxhash64(F.lit(1), "text")}
 
 
 def branch(rows: DataFrame, threshold: float) -> DataFrame:
@@ -199,16 +212,21 @@ def alike(found: np.ndarray, floor: float) -> np.ndarray:
 
 
 def clusters(rows: DataFrame, threshold: float) -> DataFrame:
-    """Compares the sketches of each leaf's members; what may be similar, directly or by others, is a cluster."""
+    """Compares the sketches of each leaf's members; what may be similar, directly or by others, is a cluster. With a
+    column side, only pairs with a member of side 1 count."""
     floor = threshold - SLACK * (threshold * (1 - threshold) / SKETCH) ** 0.5
+    sided = "side" in rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in runs(batches, "node"):
             ids = table.column("id").to_numpy()
+            asks = table.column("side").to_numpy() == 1 if sided else None
             sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, SKETCH)
             names, members = [], []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 near = alike(sketch[a:b], floor)
+                if sided:
+                    near &= asks[a:b, None] | asks[None, a:b]
                 left = np.ones(b - a, bool)
                 for i in range(b - a):
                     if not left[i]:
@@ -227,7 +245,21 @@ def clusters(rows: DataFrame, threshold: float) -> DataFrame:
             if names:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(members))], ["node", "id"])
 
-    return rows.select("node", "id", "sketch").repartition("node").sortWithinPartitions("node").mapInArrow(lean(run), "node bigint, id bigint").distinct()
+    cols = ["node", "id", "sketch", *(["side"] if sided else [])]
+    return rows.select(*cols).repartition("node").sortWithinPartitions("node").mapInArrow(lean(run), "node bigint, id bigint").distinct()
+
+
+def blocks(near: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """The clusters as nodes of at most two blocks of some BLOCK_BYTES: a larger cluster gives a node for each pair."""
+    sized = scratch.table(near.join(classes.select("id", "bytes").hint("merge"), "id"), "sized")
+    parts = sized.groupBy("node").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("parts")).filter("parts > 2")
+    parts = scratch.table(parts, "parts")
+    met = join_by_size(sized.select("node", "id"), parts, "node", "left", parts.count(), 32)
+    own = F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts")).cast("int")
+    other = F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), F.col("own"))
+    split = met.filter("parts is not null").withColumn("own", own).withColumn("other", F.explode(other))
+    split = split.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "id")
+    return met.filter("parts is null").select("node", "id").unionByName(split)
 
 
 def add_shared(out: np.ndarray, sets: list[np.ndarray]) -> None:
@@ -249,20 +281,18 @@ def add_shared(out: np.ndarray, sets: list[np.ndarray]) -> None:
             out[j, :j] += np.bitwise_count(words[:j] & words[j]).sum(1, dtype=np.int32)
 
 
-def joined(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int, ask: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """(least id, id) of the components of a cluster: pairs with den * intersection >= num * union are linked, and
-    rows that share an id are one document. With ask, only pairs with a member of ask are linked."""
+def joined(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """(least id, id) of the components of a cluster: pairs with den * intersection >= num * union are linked."""
     n = len(ids)
     sizes = np.fromiter(map(len, sets), np.int64, n)
     both = np.zeros((n, n), np.int32)
     parts = int(sizes.sum()) // AT_ONCE + 1
     for p in range(parts):  # shingles by their hash, so that few are held at once
         add_shared(both, sets if parts == 1 else [s[s % np.uint64(parts) == p] for s in sets])
-    link = ids[:, None] == ids[None, :]
+    link = np.zeros((n, n), bool)
     for j in range(1, n):
         row = both[j, :j].astype(np.int64)
-        near = (den * row >= num * (sizes[j] + sizes[:j] - row)) & (row > 0)
-        link[j, :j] |= near if ask is None or ask[j] else near & ask[:j]
+        link[j, :j] = (den * row >= num * (sizes[j] + sizes[:j] - row)) & (row > 0)
     link |= link.T
     left, out = np.ones(n, bool), []
     for i in range(n):
@@ -274,30 +304,25 @@ def joined(ids: np.ndarray, sets: list[np.ndarray], num: int, den: int, ask: np.
                 edge = link[edge].any(0) & ~now
                 now = now | edge
             left &= ~now
-            own = np.unique(ids[now])
+            own = np.sort(ids[now])
             out += [(own[0], x) for x in own[1:]]
     return out
 
 
 def confirm(rows: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links (a, b), a < b, between the members of each cluster, decided on full sets; each goes to the least id of
-    its component within the cluster. With a column side, only members of side 1 are compared with the others."""
-    sided = "side" in rows.columns
+    its component within the cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cuts in runs(batches, "node"):
             ids = table.column("id").to_numpy()
-            side = table.column("side").to_numpy() if sided else None
             out = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                sets = [shingles(t, k) for t in table.column("text").slice(a, b - a).to_pylist()]
-                out += joined(ids[a:b], sets, num, den, side[a:b] == 1 if sided else None)
+                out += joined(ids[a:b], [shingles(t, k) for t in table.column("text").slice(a, b - a).to_pylist()], num, den)
             if out:
-                x, y = np.array(out, np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.array(out, np.int64).T], ["a", "b"])
 
-    cols = ["node", "id", "text", *(["side"] if sided else [])]
-    return rows.select(*cols).repartition("node").sortWithinPartitions("node").mapInArrow(lean(run), "a bigint, b bigint")
+    return rows.select("node", "id", "text").repartition("node").sortWithinPartitions("node").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -321,42 +346,76 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     return edges.select(F.col("b").alias("id"), F.col("a").alias("component")).unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
 
 
-def texts_of(docs: DataFrame, rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """rows with the texts of their ids; only those texts move."""
-    wanted = scratch.table(rows.select("id").distinct(), f"{name}-ids")
-    texts = scratch.table(join_by_size(docs.select(F.col("doc_id").cast("bigint").alias("id"), "text"), wanted, "id", "left_semi", wanted.count()), f"{name}-texts")
+def texts_of(docs: DataFrame, classes: DataFrame, rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """rows with the texts of their classes; only those texts move, one for each class."""
+    wanted = classes.select("id", "doc_id", "h", "g").join(rows.select("id").distinct().hint("merge"), "id", "left_semi")
+    wanted = scratch.table(wanted, f"{name}-ids")
+    texts = join_by_size(docs.select(*(v.alias(c) for c, v in names().items()), "text"), wanted, ["doc_id", "h", "g"], "inner", wanted.count(), 64)
+    texts = scratch.table(texts.groupBy("id").agg(F.first("text").alias("text")), f"{name}-texts")
     return rows.join(texts.hint("merge"), "id")
 
 
+class Groups:
+    """The classes of equal sets, which class each row is of, and the components of linked classes."""
+
+    def __init__(self, docs: DataFrame, k: int, num: int, den: int):
+        small_batches(docs.sparkSession)
+        threshold = num / den
+        self.scratch = scratch = Scratch(docs.sparkSession, "near")
+        found = scratch.table(describe(docs, k, threshold), "sets")
+        self.total = found.count()
+        full = found.filter("n_shingles > 0 and doc_id is not null")
+        self.alone = found.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles")
+        groups = full.groupBy("sign").agg(F.min(F.struct("doc_id", "h", "g", "bytes")).alias("first"), F.count("*").alias("size"), F.min("sketch").alias("sketch"), F.min("roots").alias("roots"))
+        self.classes = classes = scratch.table(groups.select(F.monotonically_increasing_id().alias("id"), "sign", "first.*", "size", "sketch", "roots"), "classes")
+        self.rows = join_groups(full.select("doc_id", "h", "g", "n_shingles", "sign"), classes.select("sign", "size", "id"), ["sign"], "size", self.total).select("doc_id", "h", "g", "n_shingles", "id")
+        self.rows = scratch.table(self.rows, "rows")
+        sketches = classes.select("id", "sketch").hint("merge")
+        rows, large = leaves(classes, scratch, threshold)
+        if large is not None:
+            rows = rows.unionByName(deal(large.select("node", "size", "id"), scratch))
+        rows = scratch.table(unlike(rows), "leaves")
+        self.links = self.compare(docs, rows.join(sketches, "id"), "near", k, num, den)
+        if large is not None:
+            late = stragglers(large.select("node", "id"), components(self.links, scratch), scratch)
+            self.links = self.links.unionByName(self.compare(docs, late.join(sketches, "id"), "late", k, num, den))
+
+    def compare(self, docs: DataFrame, rows: DataFrame, name: str, k: int, num: int, den: int) -> DataFrame:
+        near = self.scratch.table(clusters(rows, num / den), f"{name}-clusters")
+        near = blocks(near, self.classes, self.scratch)
+        return self.scratch.table(confirm(texts_of(docs, self.classes, near, self.scratch, name), k, num, den), f"{name}-links")
+
+    def best(self, links: DataFrame) -> DataFrame:
+        """(id, size, best): of each class the least row (doc_id, h, g) of its component's classes."""
+        tops = self.scratch.table(components(links, self.scratch), "components")
+        own = self.classes.select("id", "size", F.struct("doc_id", "h", "g").alias("own"))
+        least = tops.join(own.hint("merge"), "id").groupBy("component").agg(F.min("own").alias("best"), F.count("*").alias("n"))
+        least = self.scratch.table(least, "least")
+        named = join_groups(tops, least, ["component"], "n", least.agg(F.sum("n")).first()[0] or 0).select("id", "best")
+        return self.scratch.table(own.join(named.hint("merge"), "id", "left").select("id", "size", F.coalesce("best", "own").alias("best")), "named")
+
+    def shared(self) -> DataFrame:
+        """Links between classes in which one doc_id occurs."""
+        held = self.rows.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count("*").alias("n")).filter("a < z")
+        held = self.scratch.table(held.select("doc_id", "a", "n"), "held")
+        if held.isEmpty():
+            return held.select("a", F.col("a").alias("b"))
+        pairs = join_groups(self.rows.select("doc_id", "id").distinct(), held, ["doc_id"], "n", self.total)
+        return self.scratch.table(pairs.filter("id > a").select("a", F.col("id").alias("b")), "held-links")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept. Documents link at similarity num/den or more."""
-    small_batches(docs.sparkSession)
-    threshold = num / den
-    scratch = Scratch(docs.sparkSession, "near")
-    found = scratch.table(describe(docs, k, threshold), "sets")
-    n = found.count()
-    groups = found.filter("n_shingles > 0 and doc_id is not null").groupBy("sign").agg(F.min("doc_id").alias("id"), F.count("*").alias("size"), F.min("sketch").alias("sketch"), F.min("roots").alias("roots"))
-    classes = scratch.table(groups, "classes")
-    rows, large = leaves(classes, scratch, threshold)
-    if large is not None:
-        rows = rows.unionByName(deal(large.select("node", "size", "id"), scratch))
-    rows = scratch.table(unlike(rows), "leaves")
-    near = scratch.table(clusters(rows.join(classes.select("id", "sketch").hint("merge"), "id"), threshold), "clusters")
-    links = scratch.table(confirm(texts_of(docs, near, scratch, "near"), k, num, den), "confirmed")
-    tops = components(links, scratch)
-    if large is not None:
-        more = stragglers(docs, large.select("node", "id"), tops, scratch, k, num, den)
-        tops = components(links.unionByName(more), scratch)
-    tops = scratch.table(tops, "components")
-    named = classes.select("sign", "size", "id").join(tops.hint("merge"), "id", "left").select("sign", "size", F.coalesce("component", "id").alias("component_id"))
-    linked = join_groups(found.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "sign"), scratch.table(named, "named"), ["sign"], "size", n)
-    alone = found.filter("n_shingles = 0 or doc_id is null")
-    out = linked.select("doc_id", "n_shingles", "component_id").unionByName(alone.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def stragglers(docs: DataFrame, large: DataFrame, tops: DataFrame, scratch: Scratch, k: int, num: int, den: int) -> DataFrame:
-    """Links of members of a large node that lie outside its main component: each meets every member, in blocks."""
+    g = Groups(docs, k, num, den)
+    named = g.best(g.links.unionByName(g.shared()))
+    linked = join_groups(g.rows, named, ["id"], "size", g.total).select("doc_id", "n_shingles", F.col("best.doc_id").alias("component_id"))
+    out = linked.unionByName(g.alone.withColumn("component_id", F.col("doc_id")))
+    return g.scratch.result(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def stragglers(large: DataFrame, tops: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (node, id, side) in which members of a large node that lie outside its main component (side 1) meet every
+    member of the node, in blocks."""
     owned = scratch.table(large.join(tops.hint("merge"), "id", "left").select("node", "id", F.coalesce("component", "id").alias("top")), "owned")
     count = owned.groupBy("node", "top").agg(F.count("*").alias("n"))
     main = count.groupBy("node").agg(F.max(F.struct("n", "top")).alias("m"), F.sum("n").alias("size")).select("node", F.col("m.top").alias("main"), "size")
@@ -369,15 +428,18 @@ def stragglers(docs: DataFrame, large: DataFrame, tops: DataFrame, scratch: Scra
     pairs = homes.join(main.hint("merge"), "node").select("node", "home", F.explode(F.sequence(F.lit(0), parts - 1)).alias("block"))
     members = pairs.join(every.select("node", "block", "id").hint("merge"), ["node", "block"]).select(F.xxhash64("node", "home", "block").alias("node"), "id", F.lit(0).alias("side"))
     askers = pairs.join(outside.withColumn("home", block).select("node", "home", "id").hint("merge"), ["node", "home"]).select(F.xxhash64("node", "home", "block").alias("node"), "id", F.lit(1).alias("side"))
-    rows = scratch.table(members.unionByName(askers).groupBy("node", "id").agg(F.max("side").alias("side")), "stragglers")
-    return scratch.table(confirm(texts_of(docs, rows, scratch, "late"), k, num, den), "late")
+    return scratch.table(members.unionByName(askers).groupBy("node", "id").agg(F.max("side").alias("side")), "stragglers")
 
 
 def kept_documents(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs with one document of each component, the one of the least doc_id; all columns kept. Rows that repeat that
-    doc_id all stay: exact copies are the exact dedup's work."""
-    lost = Scratch(docs.sparkSession, "lost").table(near_duplicates(docs, k, num, den).filter("not kept").select("doc_id").distinct(), "ids")
-    return join_by_size(docs, lost, "doc_id", "left_anti", lost.count())
+    """docs with one text of each component, that of the least doc_id; all columns kept. Rows that repeat its doc_id
+    and text all stay: exact copies are the exact dedup's work."""
+    g = Groups(docs, k, num, den)
+    rows = join_groups(g.rows, g.best(g.links), ["id"], "size", g.total)
+    lost = rows.filter(F.struct("doc_id", "h", "g") != F.col("best")).select(F.col("doc_id").alias("g_doc"), F.col("h").alias("g_h"), F.col("g").alias("g_g"))
+    lost = g.scratch.result(lost.distinct(), "lost")
+    rows = boxed(docs, **{f"g_{c}": v for c, v in zip(("doc", "h", "g"), names().values(), strict=True)})
+    return unboxed(join_by_size(rows, lost, ["g_doc", "g_h", "g_g"], "left_anti", lost.count(), 64))
 
 
 def op8_near_dedup_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,9 @@ answer, for every context limit: how many documents are at least that long, how
 there, and where the quantiles lie. Lengths fall into blocks of BLOCK; sums run within blocks and over the blocks'
 totals, so no task holds more than a block's lengths or one row a block.
 
+The encoder's pattern is searched by a machine that recurses on white space, so runs of SPACES or more of it are cut out
+and encoded as the one piece that they are; all other text goes to the encoder as it is.
+
 Defined results: a null or empty text has no tokens and counts as length 0; null ids and repeated rows count once
 each; an empty table gives an empty histogram, and the answers from it are 0 or null; other columns are ignored.
 """
@@ -12,17 +15,20 @@ each; an empty table gives an empty histogram, and the answers from it are 0 or
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prosewright.llm.common import documents, lean, small_batches
 
-RANKS, BLOCK = "byte_bpe_50k.tiktoken", 2048
+RANKS, BLOCK, SPACES = "byte_bpe_50k.tiktoken", 2048, 1000
+LONG_SPACE = regex.compile(rf"\s{{{SPACES},}}")
 
 
 @lru_cache(maxsize=2)
@@ -42,15 +48,27 @@ def ranks_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def n_tokens(encoder, text: str | None) -> int:
+    """The length of the encoded text. Of a run of white space before a word, the last character goes with the word."""
+    if not text:
+        return 0
+    total = at = 0
+    for m in LONG_SPACE.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        total += len(encoder.encode_ordinary(text[at : m.start()])) + len(encoder._core_bpe.encode_single_piece(text[m.start() : end].encode()))
+        at = end
+    return total + len(encoder.encode_ordinary(text[at:] if at else text))
+
+
 def lengths(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and n_tokens of each row."""
     small_batches(docs.sparkSession)
     path = path or ranks_path(RANKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
+        encoder = encoding(path)
         for batch in batches:
-            sizes = [len(encode(t)) if t else 0 for t in batch.column("text").to_pylist()]
+            sizes = [n_tokens(encoder, t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64())], ["doc_id", "n_tokens"])
 
     return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens bigint")
@@ -71,23 +89,39 @@ def histogram(sizes: DataFrame) -> DataFrame:
     return out.select("n_tokens", "docs", "docs_at_least", "tokens_at_least", cut.alias("tokens_cut"), ((F.col("all_docs") - F.col("docs_at_least")) / F.col("all_docs")).alias("docs_below_share"))
 
 
-def at_limits(hist: DataFrame, limits: list[int]) -> DataFrame:
-    """For each limit: limit, docs_longer, tokens_kept and tokens_lost, exact for any limit, met as a length or not."""
+def looked_up(hist: DataFrame, found: list[Column], answer, schema: str) -> DataFrame:
+    """One pass over the histogram that finds a row for each question, and the answers in the order of the questions."""
     spark = hist.sparkSession
-    wanted = spark.createDataFrame([(n,) for n in limits], "limit bigint")
-    pairs = hist.select("n_tokens", "docs").join(F.broadcast(wanted))
-    cut = F.least("n_tokens", "limit") * F.col("docs")
-    got = pairs.groupBy("limit").agg(F.sum(F.when(F.col("n_tokens") > F.col("limit"), F.col("docs")).otherwise(0)).alias("docs_longer"), F.sum(cut).alias("tokens_kept"), F.sum(F.col("n_tokens") * F.col("docs") - cut).alias("tokens_lost"))
-    return wanted.join(got, "limit", "left").select("limit", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("docs_longer", "tokens_kept", "tokens_lost")))
+    whole = (F.max("docs_at_least").alias("all_docs"), F.max("tokens_at_least").alias("all_tokens"))
+    one = hist.agg(*whole, *(c.alias(f"f{k}") for k, c in enumerate(found)))
+    if not found:
+        return spark.createDataFrame([], schema)
+    return one.select(F.inline(F.array(*(answer(k) for k in range(len(found)))))).to(spark.createDataFrame([], schema).schema)
+
+
+def at_limits(hist: DataFrame, limits: list[int]) -> DataFrame:
+    """For each limit: limit, docs_longer, tokens_kept and tokens_lost, exact for any limit, met as a length or not: the
+    suffix sums at the first length beyond the limit tell."""
+    sums = F.struct("n_tokens", "docs_at_least", "tokens_at_least")
+    found = [F.min(F.when(F.col("n_tokens") > n, sums)) for n in limits]
+
+    def answer(k: int) -> Column:
+        longer = F.coalesce(F.col(f"f{k}.docs_at_least"), F.lit(0))
+        lost = F.coalesce(F.col(f"f{k}.tokens_at_least"), F.lit(0)) - limits[k] * longer
+        kept = F.coalesce("all_tokens", F.lit(0)) - lost
+        return F.struct(F.lit(limits[k]).cast("bigint").alias("limit"), longer.alias("docs_longer"), kept.alias("tokens_kept"), lost.alias("tokens_lost"))
+
+    return looked_up(hist, found, answer, "limit bigint, docs_longer bigint, tokens_kept bigint, tokens_lost bigint")
 
 
 def quantiles(hist: DataFrame, shares: list[float]) -> DataFrame:
     """For each share: the least length such that at least this share of the documents is no longer."""
-    wanted = hist.sparkSession.createDataFrame([(float(q),) for q in shares], "share double")
-    total = hist.agg(F.sum("docs").alias("all_docs"))
-    upto = hist.join(F.broadcast(total)).select("n_tokens", (F.col("all_docs") - F.col("docs_at_least") + F.col("docs")).alias("upto"), "all_docs")
-    got = upto.join(F.broadcast(wanted), F.col("upto") >= F.ceil(F.col("share") * F.col("all_docs"))).groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
-    return wanted.join(got, "share", "left")
+    # documents no longer than a length are all but those at least as long, and its own; all are at least as long as the least
+    upto = F.col("g_all") - F.col("docs_at_least") + F.col("docs")
+    total = hist.agg(F.max("docs_at_least")).first()[0] or 0
+    hist = hist.withColumn("g_all", F.lit(total))
+    found = [F.min(F.when(upto >= math.ceil(q * total), F.col("n_tokens"))) for q in shares]
+    return looked_up(hist, found, lambda k: F.struct(F.lit(float(shares[k])).alias("share"), F.col(f"f{k}").alias("n_tokens")), "share double, n_tokens bigint")
 
 
 def op3_token_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:

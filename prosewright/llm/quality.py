@@ -5,8 +5,8 @@ how concentrated its four-byte strings are, how often a word repeats its predece
 attention weighs the passages of a document, and the weighted sum gives the score. Encoder, attention and classifier
 are learned together from document labels, with early stopping on a part of the training rows.
 
-The fit uses a sample of at most SAMPLE labelled rows, chosen by hash, and of those at most BAG passages each, evenly
-spaced; both bounds hold at any size of the input. Scoring reads every passage of every text. Labels, lang, source
+The fit uses a sample of at most SAMPLE labelled rows, chosen by hash, with all passages of their whole texts; encoded,
+they take about half the bytes of those texts on the driver. Scoring reads every passage of every text. Labels, lang, source
 and doc_id are never inputs of a score; doc_id only decides which labels may be learned.
 
 Defined results: a null or empty text is one empty passage and gets a score like any other; a null doc_id is scored,
@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 
 from prosewright.llm.common import documents, lean, small_batches
 
-SAMPLE, BAG, PASSAGE, HIDDEN, GATE, GRAMS = 3000, 24, 1024, 32, 16, 512
+SAMPLE, PASSAGE, HIDDEN, GATE, GRAMS = 3000, 1024, 32, 16, 512
 INPUTS = 256 + 6
+#: Bytes that are encoded or scored at once; whole passages.
+PIECE = 512 * PASSAGE
 
 
 class Model(NamedTuple):
@@ -46,7 +48,10 @@ class Model(NamedTuple):
 
 def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The inputs of all passages of the texts, and the number of passages of each text (1 at least)."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    return encoded(*((t or "").encode("utf-8", "surrogatepass") for t in texts))
+
+
+def encoded(*raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     counts = np.maximum(1, -(-sizes // PASSAGE))
     data = np.frombuffer(b"".join(raw), np.uint8)
@@ -84,9 +89,10 @@ def forward(m: Model, x: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]
     g = 1 / (1 + np.exp(-(h @ m.u)))
     e = np.exp(np.clip((t * g) @ m.a, -30, 30))
     counts = np.diff(np.append(first, len(x)))
-    weight = e / np.repeat(np.add.reduceat(e, first), counts)
+    total = np.add.reduceat(e, first)
+    weight = e / np.repeat(total, counts)
     z = np.add.reduceat(weight[:, None] * h, first, axis=0)
-    return {"h": h, "t": t, "g": g, "weight": weight, "z": z, "score": 1 / (1 + np.exp(-np.clip(z @ m.c + m.d, -30, 30))), "counts": counts}
+    return {"h": h, "t": t, "g": g, "sum": total, "weight": weight, "z": z, "score": 1 / (1 + np.exp(-np.clip(z @ m.c + m.d, -30, 30))), "counts": counts}
 
 
 def gradient(m: Model, x: np.ndarray, first: np.ndarray, y: np.ndarray, decay: float) -> list[np.ndarray]:
@@ -164,15 +170,15 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def bags(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The encoded sample on the driver: inputs, passages of each bag, labels. Its size is bounded by SAMPLE and BAG."""
+    """The encoded sample on the driver: inputs, passages of each bag, labels. SAMPLE bounds their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
-                x, _ = passages([text])
-                x = x[np.unique(np.linspace(0, len(x) - 1, min(len(x), BAG)).astype(int))]
-                out.append(x.astype(np.float16).tobytes())
+                raw = (text or "").encode("utf-8", "surrogatepass")
+                cuts = range(0, max(1, len(raw)), PIECE)
+                out.append(b"".join(encoded(raw[a : a + PIECE])[0].astype(np.float16).tobytes() for a in cuts))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality").cast(pa.int32()), pa.array(out, pa.binary())], ["doc_id", "quality", "x"])
 
     kind = dict(rows.dtypes)["doc_id"]
@@ -191,18 +197,35 @@ def score_texts(m: Model, texts: list[str | None]) -> tuple[np.ndarray, list[np.
     scores, weights, lo = [], [], 0
     while lo < len(texts):
         hi, size = lo, 0
-        while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") < 1 << 19):
+        while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") < PIECE):
             size += len(texts[hi] or "")
             hi += 1
-        x, counts = passages(texts[lo:hi])
-        first = np.cumsum(counts) - counts
-        f = forward(m, x, first)
-        scores.append(f["score"])
-        weights += np.split(f["weight"], first[1:])
+        if size > 4 * PIECE:
+            score, weight = score_long(m, texts[lo].encode("utf-8", "surrogatepass"))
+            scores.append(score)
+            weights.append(weight)
+        else:
+            x, counts = passages(texts[lo:hi])
+            first = np.cumsum(counts) - counts
+            f = forward(m, x, first)
+            scores.append(f["score"])
+            weights += np.split(f["weight"], first[1:])
         lo = hi
     return np.concatenate(scores) if scores else np.zeros(0), weights
 
 
+def score_long(m: Model, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """One text by pieces, whose attention adds up to that of the whole text."""
+    sums, z, parts = 0.0, 0.0, []
+    for a in range(0, len(raw), PIECE):
+        f = forward(m, encoded(raw[a : a + PIECE])[0], np.zeros(1, np.int64))
+        total = float(f["sum"][0])
+        sums, z = sums + total, z + total * f["z"]
+        parts.append(f["weight"] * total)
+    score = 1 / (1 + np.exp(-np.clip(z / sums @ m.c + m.d, -30, 30)))
+    return score, np.concatenate(parts) / sums
+
+
 def classify(docs: DataFrame, model: Model, outputs: bool = True) -> DataFrame:
     """docs' doc_id with held_out, score, predicted and, with outputs, the attention weights by passage."""
     small_batches(docs.sparkSession)

@@ -1,105 +1,48 @@
-"""Layer 0: sentences, tokens with byte spans, dictionary tags and structural tags.
+"""Layer 0: sentences, tokens with byte spans, dictionary tags, compounds, structural tags and disambiguation.
 
-Documents are dealt by doc_id once; every window below runs on that partitioning without another shuffle.
+Texts are cut in Arrow batches, where a row is a whole document, so nothing shuffles for offsets; what is looked up
+afterwards are narrow tokens.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prosewright import config
-from prosewright.functions.text import PIECE, SPACE, ascii_fold, is_digits, starts_upper, strip_marks
+from prosewright.functions.text import ascii_fold, is_digits, starts_upper, strip_marks
+from prosewright.operators import compounds, tokenizer
 
-ENDS, CLOSERS = ".!?…", "\"')]»”"
+KINDS = {"lang": "string", "text": "string", "gap": "string", "spaced": "boolean", "last": "boolean", "sentinel": "boolean"}
 
 
-def _in(x: Column, chars: str) -> Column:
-    return x.isin(*chars)
+def cut(docs: DataFrame, view: str, columns: tuple[str, ...], **how) -> DataFrame:
+    lang = F.col("lang") if "lang" in docs.columns else F.lit("en")
+    kinds = KINDS | {"doc_id": dict(docs.dtypes)["doc_id"]}
+    schema = ", ".join(f"{c} {kinds.get(c, 'bigint')}" for c in columns)
+    return docs.select("doc_id", lang.alias("lang"), "text").mapInArrow(tokenizer.cutter(view, columns, **how), schema)
 
 
-def pieces(docs: DataFrame) -> DataFrame:
-    """Pieces that tile the texts (TOK-2, WIN-4): doc_id, lang, i, piece, s, e (bytes), sent, blank.
+def sentences(docs: DataFrame, breaks: tokenizer.Breaks | None = None) -> DataFrame:
+    """Ranges that tile the text (TOK-1): doc_id, lang, sent, s, e, text. breaks are the segmentation rules of languages;
+    without any, a sentence ends with white space that holds a line feed or follows terminal punctuation."""
+    return cut(docs, "sentences", ("doc_id", "lang", "sent", "s", "e", "text"), breaks=breaks)
 
-    A sentence ends with white space that holds a line feed or follows terminal punctuation and closing marks, unless
-    a full stop follows a known abbreviation; the white space belongs to the sentence that it ends (TOK-1).
-    """
-    lang = F.col("lang") if "lang" in docs.columns else F.lit("en")
-    rows = docs.repartition("doc_id").select("doc_id", lang.alias("lang"), F.posexplode(F.regexp_extract_all("text", F.lit(PIECE), F.lit(0))).alias("i", "piece"))
-    by = W.partitionBy("doc_id").orderBy("i")
-    size = F.octet_length("piece").cast("long")
-    rows = rows.withColumn("blank", F.col("piece").rlike(rf"\A[{SPACE}]"))
-    p1, p2 = F.lag("piece", 1).over(by), F.lag("piece", 2).over(by)
-    ends = _in(p1, ENDS) | (_in(p1, CLOSERS) & _in(p2, ENDS))
-    short = (p1 == ".") & F.lower(p2).isin(*config.ABBREVIATIONS)
-    rows = rows.withColumn("cut", F.col("blank") & (F.col("piece").contains("\n") | F.coalesce(ends & ~F.coalesce(short, F.lit(False)), F.lit(False))))
-    before = by.rowsBetween(W.unboundedPreceding, -1)
-    end = F.sum(size).over(by.rowsBetween(W.unboundedPreceding, 0))
-    sent = F.coalesce(F.sum(F.col("cut").cast("long")).over(before), F.lit(0))
-    return rows.select("doc_id", "lang", "i", "piece", (end - size).alias("s"), end.alias("e"), sent.alias("sent"), "blank")
-
-
-def sentences(docs: DataFrame) -> DataFrame:
-    """Ranges that tile the text (TOK-1): doc_id, sent, s, e."""
-    return pieces(docs).groupBy("doc_id", "sent").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-
-
-def tokens(docs: DataFrame) -> DataFrame:
-    """Tokens in order: doc_id, lang, sent, tok, text, s, e, spaced (PRD-8: the first counts as spaced), last (TAG-5)."""
-    rows = pieces(docs).filter("not blank")
-    by = W.partitionBy("doc_id").orderBy("i")
-    spaced = F.coalesce(F.lag("e").over(by) < F.col("s"), F.lit(True))
-    last = F.coalesce(F.lead("sent").over(by) != F.col("sent"), F.lit(True))
-    return rows.select("doc_id", "lang", "sent", (F.row_number().over(by) - 1).cast("long").alias("tok"), F.col("piece").alias("text"), "s", "e", spaced.alias("spaced"), last.alias("last"))
+
+def tokens(docs: DataFrame, breaks: tokenizer.Breaks | None = None) -> DataFrame:
+    """Tokens in order (TOK-2): doc_id, lang, sent, tok, text, s, e, spaced (PRD-8: the first counts as spaced), last (TAG-5)."""
+    return cut(docs, "tokens", ("doc_id", "lang", "sent", "tok", "text", "s", "e", "spaced", "last"), breaks=breaks)
+
+
+def full_tokens(docs: DataFrame, breaks: tokenizer.Breaks | None = None) -> DataFrame:
+    """Tokens as rules see them: an empty one (sentinel) opens each sentence (TOK-3), and clitics of the language are
+    tokens of their own (TOK-4). tok numbers them all."""
+    return cut(docs, "tokens", ("doc_id", "lang", "sent", "tok", "text", "s", "e", "spaced", "last", "sentinel", "gap"), breaks=breaks, elide=True, sentinels=True)
 
 
 def token_places(docs: DataFrame) -> DataFrame:
-    """Where each token starts: doc_id, tok, text, s (bytes), utf16 (PRJ-15), line and col from 1 (SNK-2), in one pass of
-    running sums."""
-    by = W.partitionBy("doc_id").orderBy("i")
-    before = by.rowsBetween(W.unboundedPreceding, -1)
-
-    def sum_before(x: Column) -> Column:
-        return F.coalesce(F.sum(x).over(before), F.lit(0)).cast("bigint")
-
-    chars = F.char_length("piece")
-    astral = F.char_length(F.regexp_replace("piece", r"[\x{0}-\x{FFFF}]", ""))
-    breaks = chars - F.char_length(F.replace("piece", F.lit("\n"), F.lit("")))
-    sums = {"tok": sum_before((~F.col("blank")).cast("int")), "at": sum_before(chars), "utf16": sum_before(chars + astral), "line": sum_before(breaks) + 1}
-    rows = pieces(docs).withColumns(sums)
-    behind = F.when(F.contains("piece", F.lit("\n")), F.col("at") + chars - F.char_length(F.substring_index("piece", "\n", -1)))
-    start = F.coalesce(F.max(behind).over(before), F.lit(0))
-    return rows.withColumn("col", (F.col("at") - start + 1).cast("bigint")).filter("not blank").select("doc_id", "tok", F.col("piece").alias("text"), "s", "utf16", "line", "col")
-
-
-def with_sentinels(toks: DataFrame) -> DataFrame:
-    """Adds a zero-width token tagged SENT_START before each sentence (TOK-3); pos numbers the result within a document."""
-    first = toks.groupBy("doc_id", "lang", "sent").agg(F.min("tok").alias("tok"), F.min("s").alias("s"))
-    marks = first.select("doc_id", "lang", "sent", "tok", F.lit("").alias("text"), "s", F.col("s").alias("e"), F.lit(True).alias("sentinel"))
-    both = marks.unionByName(toks.select("doc_id", "lang", "sent", "tok", "text", "s", "e", F.lit(False).alias("sentinel")))
-    order = W.partitionBy("doc_id").orderBy("tok", F.desc("sentinel"))
-    return both.withColumn("pos", (F.row_number().over(order) - 1).cast("long"))
-
-
-def split_elision(text: Column, clitics: tuple[str, ...]) -> Column:
-    """A token's parts (TOK-4): leading clitics with their apostrophe, ASCII case ignored, then the rest."""
-    names = "|".join(sorted(clitics, key=len, reverse=True))
-    return F.regexp_extract_all(text, F.lit(rf"(?i)\G(?:{names})'(?=.)|.+"), F.lit(0)) if clitics else F.array(text)
-
-
-def elided(toks: DataFrame, clitics: tuple[str, ...]) -> DataFrame:
-    """doc_id, tok, part, text, s, e of tokens after elision; spans by running byte sums."""
-    rest = F.array(F.col("text"))
-    pattern = rf"(?i)\A((?:(?:{'|'.join(sorted(clitics, key=len, reverse=True))})')*)(.*)\z"
-    head, tail = F.regexp_extract("text", pattern, 1), F.regexp_extract("text", pattern, 2)
-    heads = F.regexp_extract_all(head, F.lit("[^']+'"), F.lit(0))
-    parts = F.when((head != "") & (tail != ""), F.concat(heads, F.array(tail))).when((head != "") & (F.size(heads) > 1), heads).otherwise(rest)
-    rows = toks.select("doc_id", "tok", "s", F.posexplode(parts).alias("part", "text"))
-    by = W.partitionBy("doc_id", "tok").orderBy("part").rowsBetween(W.unboundedPreceding, 0)
-    size = F.octet_length("text").cast("long")
-    end = F.col("s") + F.sum(size).over(by)
-    return rows.withColumn("end", end).select("doc_id", "tok", "part", "text", (F.col("end") - size).alias("s"), F.col("end").alias("e"))
+    """Where each token starts: doc_id, tok, text, s (bytes), utf16 (PRJ-15), line and col from 1 (SNK-2)."""
+    return cut(docs, "tokens", ("doc_id", "tok", "text", "s", "utf16", "line", "col"))
 
 
 def tag_shape(surface: Column, lang: Column) -> Column:
@@ -113,44 +56,69 @@ def stem(surface: Column) -> Column:
 
 
 def corpus_lexicon(toks: DataFrame, least: int) -> DataFrame:
-    """(lang, surface, lemma, tag) of lower-cased words that occur least times or more in a language (AGG-1, AGG-4)."""
+    """(lang, surface, ord, lemma, tag) of lower-cased words that occur least times or more in a language (AGG-1, AGG-4)."""
     words = toks.filter(F.col("text").rlike(r"\A\p{L}+\z")).groupBy("lang", F.lower("text").alias("surface")).agg(F.count("*").alias("n"))
-    return words.filter(F.col("n") >= least).select("lang", "surface", stem(F.col("surface")).alias("lemma"), tag_shape(F.col("surface"), F.col("lang")).alias("tag"))
+    return words.filter(F.col("n") >= least).select("lang", "surface", F.lit(0).alias("ord"), stem(F.col("surface")).alias("lemma"), tag_shape(F.col("surface"), F.col("lang")).alias("tag"))
 
 
 def supplement(triples: DataFrame, added: DataFrame, removed: DataFrame, closed: DataFrame) -> DataFrame:
-    """Triples with additions and without removals, and whole surfaces replaced by the closed class (SET-2, JON-11, JON-12)."""
-    cols = ["lang", "surface", "lemma", "tag"]
-    kept = triples.unionByName(added).join(F.broadcast(removed), cols, "left_anti")
-    return kept.join(F.broadcast(closed.select("lang", "surface").distinct()), ["lang", "surface"], "left_anti").select(cols).unionByName(closed.select(cols))
+    """Entries with additions and without removals, and whole surfaces replaced by the closed class (SET-2, JON-11,
+    JON-12). ord is an entry's place in its dictionary. The sides' sizes are for the optimizer to weigh."""
+    cols = ["lang", "surface", "ord", "lemma", "tag"]
+    kept = triples.select(cols).unionByName(added.select(cols)).join(removed, ["lang", "surface", "lemma", "tag"], "left_anti")
+    return kept.join(closed.select("lang", "surface").distinct(), ["lang", "surface"], "left_anti").select(cols).unionByName(closed.select(cols))
+
 
+def group_lexicon(entries: DataFrame) -> DataFrame:
+    """(lang, surface, tags, lemmas): per surface the distinct tags and lemmas in dictionary order (AGG-4, SNK-7, PRD-14);
+    the first tag is the primary one (JON-9)."""
+    ok = entries.filter("surface <> '' and tag <> ''")
+    one = F.array_sort(F.collect_set(F.struct("ord", "tag", "lemma")))
+    rows = ok.groupBy("lang", "surface").agg(one.alias("a"))
+    return rows.select("lang", "surface", F.array_distinct("a.tag").alias("tags"), F.array_distinct("a.lemma").alias("lemmas"))
 
-def group_lexicon(triples: DataFrame) -> DataFrame:
-    """(lang, surface, tags, lemmas): per surface the distinct analyses, here in byte order (AGG-4, SNK-7, PRD-14)."""
-    ok = triples.filter("surface <> '' and tag <> ''").distinct()
-    return ok.groupBy("lang", "surface").agg(F.array_sort(F.collect_set("tag")).alias("tags"), F.array_sort(F.collect_set("lemma")).alias("lemmas"))
 
+def primary_tags(entries: DataFrame) -> DataFrame:
+    """(surface, pos): the first tag of each surface, of several languages that of the least ord, then by name (JON-9)."""
+    ok = entries.filter("surface <> '' and tag <> ''")
+    return ok.groupBy("surface").agg(F.min(F.struct("ord", "lang", "tag"))["tag"].alias("pos"))
 
-def lookup(toks: DataFrame, lexicon: DataFrame, small: bool = True) -> DataFrame:
-    """Adds tags and lemmas (TAG-1, JON-1): the exact surface's analyses, else the lower-cased one's, never both.
 
-    small says that the lexicon has been counted and may be broadcast; otherwise both sides shuffle by word.
-    """
-    lex = F.broadcast(lexicon) if small else lexicon.hint("merge")
+def analyses(words: DataFrame, entries: DataFrame) -> DataFrame:
+    """(lang, text, tags, lemmas) of distinct words: the exact surface's analyses, else the lower-cased one's, never both
+    (TAG-1, JON-1), else those of a compound's head (CMP-2), else none. The key is without combining marks (TOK-5)."""
     key = strip_marks(F.col("text"))
-    rows = toks.withColumn("exact", key).withColumn("low", F.lower(key))
+    words, lexicon = words.select("lang", "text", key.alias("exact"), F.lower(key).alias("low")), group_lexicon(entries)
     for by, out in (("exact", "x"), ("low", "l")):
-        side = lex.select(F.col("lang").alias("lx"), F.col("surface").alias("sx"), F.col("tags").alias(f"{out}_tags"), F.col("lemmas").alias(f"{out}_lemmas"))
-        rows = rows.join(side, (F.col("lang") == F.col("lx")) & (F.col(by) == F.col("sx")), "left").drop("lx", "sx")
-    hit = F.col("x_tags").isNotNull()
+        side = lexicon.select("lang", F.col("surface").alias(by), F.col("tags").alias(f"{out}_tags"), F.col("lemmas").alias(f"{out}_lemmas"))
+        words = words.join(side, ["lang", by], "left")
     empty = F.array().cast("array<string>")
-    tags = F.when(hit, F.col("x_tags")).otherwise(F.coalesce("l_tags", empty))
-    lemmas = F.when(hit, F.col("x_lemmas")).otherwise(F.coalesce("l_lemmas", empty))
-    return rows.select(*toks.columns, tags.alias("tags"), lemmas.alias("lemmas"))
+    pick = lambda c: F.coalesce(F.when(F.col("x_tags").isNotNull(), F.col(f"x_{c}")).otherwise(F.col(f"l_{c}")), empty).alias(c)
+    return compounds.with_heads(words.select("lang", "text", pick("tags"), pick("lemmas")), entries)
+
+
+def lookup(toks: DataFrame, entries: DataFrame) -> DataFrame:
+    """Adds tags and lemmas: distinct words are analysed, and tokens then meet what was found. No size is assumed: what
+    is small is broadcast by the optimizer, and frequent words are split by adaptive execution where it isn't."""
+    found = analyses(toks.filter("text <> ''").select("lang", "text").distinct(), entries).filter(F.size("tags") > 0)
+    rows = toks.join(found, ["lang", "text"], "left")
+    empty = F.array().cast("array<string>")
+    return rows.select(*toks.columns, F.coalesce("tags", empty).alias("tags"), F.coalesce("lemmas", empty).alias("lemmas"))
+
+
+def analyze(docs: DataFrame, entries: DataFrame, breaks: tokenizer.Breaks | None = None, tag_rules: list | None = None, toks: DataFrame | None = None) -> DataFrame:
+    """The whole of layer 0: full_tokens (or those given) with dictionary tags, those of compounds' heads, structural
+    tags (the lemmas and fold beside them) and, with tag_rules, disambiguation. entries is a lexicon with ord."""
+    out = structural(lookup(full_tokens(docs, breaks) if toks is None else toks, entries))
+    if tag_rules:
+        from prosewright.operators import disambiguation
+
+        out = disambiguation.disambiguated(out, tag_rules)
+    return out
 
 
 def structural(toks: DataFrame) -> DataFrame:
-    """Digit, punctuation, name, unknown and SENT_END tags (TAG-4, TAG-5). Digits lose dictionary tags and lemmas."""
+    """Digit, punctuation, name, unknown, SENT_START and SENT_END tags (TAG-4, TAG-5, TOK-3). Digits lose dictionary tags and lemmas."""
     langs = list(config.LANGS.values())
 
     def by_lang(pick) -> Column:
@@ -159,12 +127,18 @@ def structural(toks: DataFrame) -> DataFrame:
             out = F.when(F.col("lang") == x.code, F.lit(pick(x))).otherwise(out)
         return out
 
-    digit, punct = is_digits(F.col("text")), F.col("text").rlike(rf"\A[{config.PUNCTUATION}]+\z")
+    digit = is_digits(F.col("text"))
+    punct = F.lit(False)
+    for x in langs:
+        punct = F.when(F.col("lang") == x.code, F.col("text").rlike(rf"\A[{x.punctuation}]+\z")).otherwise(punct)
+    punct = F.when(F.col("lang").isin(*config.LANGS), punct).otherwise(F.col("text").rlike(rf"\A[{config.PUNCTUATION}]+\z"))
     classes = F.create_map(*(F.lit(v) for kv in config.EN_CLASSES.items() for v in kv))
     extra = F.when((F.col("lang") == "en") & (F.char_length("text") == 1), F.filter(F.array(classes[F.col("text")]), lambda t: t.isNotNull())).otherwise(F.array().cast("array<string>"))
     marks = F.array_union(F.array_union(F.col("tags"), F.array(by_lang(lambda x: x.punct_tag))), extra)
     bare = F.when(starts_upper(F.col("text")), by_lang(lambda x: x.name_tag)).otherwise(F.lit(config.UNKNOWN))
     tags = F.when(digit, F.array(by_lang(lambda x: x.digit_tag))).when(punct, marks).when(F.size("tags") == 0, F.array(bare)).otherwise(F.col("tags"))
+    if "sentinel" in toks.columns:
+        tags = F.when(F.col("sentinel"), F.array(F.lit(config.SENT_START))).otherwise(tags)
     tags = F.when(F.col("last"), F.array_union(tags, F.array(F.lit(config.SENT_END)))).otherwise(tags)
     lemmas = F.when(digit, F.array().cast("array<string>")).otherwise(F.col("lemmas"))
     return toks.withColumns({"tags": tags, "lemmas": lemmas, "fold": ascii_fold(F.col("text"))})

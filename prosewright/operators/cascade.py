@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from prosewright.functions.text import byte_slice, column_of, line_of
-
 LAYERS = ("Spelling", "Grammar", "Statistical", "Neural")
-COLUMNS = ("doc_id", "s", "e", "code", "message", "suggestions", "source", "seq")
+COLUMNS = ("doc_id", "s", "e", "code", "message", "suggestions", "source", "surface")
 
 
 def stack(layers: list[DataFrame]) -> DataFrame:
@@ -19,12 +21,12 @@ def stack(layers: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), (x.select(*COLUMNS) for x in layers))
 
 
-def without_noops(found: DataFrame, surface: Column) -> DataFrame:
-    """Drops suggestions that equal the text of the span, and diagnostics that had suggestions and lose all (PRJ-9)."""
+def without_noops(found: DataFrame) -> DataFrame:
+    """Drops suggestions that equal the text of the span (surface), and diagnostics that had suggestions and lose all
+    (PRJ-9)."""
     rest = F.array_remove("suggestions", F.col("surface"))
-    rows = found.withColumn("surface", surface).withColumn("rest", rest)
-    kept = rows.filter((F.size("suggestions") == 0) | (F.size("rest") > 0))
-    return kept.withColumn("suggestions", F.col("rest")).drop("rest", "surface")
+    kept = found.withColumn("rest", rest).filter((F.size("suggestions") == 0) | (F.size("rest") > 0))
+    return kept.withColumn("suggestions", F.col("rest")).drop("rest")
 
 
 def layer_of(source: Column) -> Column:
@@ -35,8 +37,8 @@ def layer_of(source: Column) -> Column:
 
 
 def ordered(found: DataFrame) -> DataFrame:
-    """rank within each document: by span start, then layer, then the layer's own order (SRT-1)."""
-    by = W.partitionBy("doc_id").orderBy("s", layer_of(F.col("source")), "seq", "e", "code")
+    """rank within each document: by span start, then layer, then the layer's own order, which is by end and code (SRT-1)."""
+    by = W.partitionBy("doc_id").orderBy("s", layer_of(F.col("source")), "e", "code")
     return found.withColumn("rank", F.row_number().over(by))
 
 
@@ -45,20 +47,34 @@ def severity(source: Column) -> Column:
     return F.when(source == "Spelling", "error").when(source == "Grammar", "warning").when(source == "Statistical", "info").otherwise("hint")
 
 
-def check(docs: DataFrame, layers: list[DataFrame]) -> DataFrame:
-    """The whole cascade over documents, in its final order. The guard runs by layer, below the union."""
-    texts = docs.select("doc_id", "text")
-    guarded = [without_noops(x.select(*COLUMNS).join(texts, "doc_id"), byte_slice(F.col("text"), F.col("s"), F.col("e"))) for x in layers]
-    return ordered(stack(guarded))
+def check(layers: list[DataFrame]) -> DataFrame:
+    """The whole cascade in its final order. The guard runs by layer, below the union."""
+    return ordered(stack([without_noops(x.select(*COLUMNS)) for x in layers]))
 
 
 def printed(docs: DataFrame, found: DataFrame, name: Column) -> DataFrame:
-    """One line per diagnostic: name:line:column CODE "text" -> "fix" (SNK-1)."""
-    rows = found.join(docs.select("doc_id", "text"), "doc_id")
-    text, s = F.col("text"), F.col("s")
+    """One line per diagnostic: name:line:column CODE "text" -> "fix" (SNK-1). A document's diagnostics meet its text in
+    one row, where line starts are found once."""
     fix = F.when(F.size("suggestions") > 0, F.concat(F.lit(' -> "'), F.element_at("suggestions", 1), F.lit('"'))).otherwise("")
-    line = F.concat(name, F.lit(":"), line_of(text, s).cast("string"), F.lit(":"), column_of(text, s).cast("string"), F.lit(" "), F.col("code"), F.lit(' "'), byte_slice(text, s, F.col("e")), F.lit('"'), fix)
-    return rows.select("doc_id", "s", "rank", line.alias("line"))
+    rest = F.concat(F.lit(" "), F.col("code"), F.lit(' "'), F.col("surface"), F.lit('"'), fix)
+    by = found.groupBy("doc_id").agg(F.collect_list(F.struct("s", "rank", rest.alias("rest"))).alias("found"))
+    rows = docs.select("doc_id", "text", name.alias("name")).join(by, "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, text, label, hits in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "name", "found")), strict=True):
+                raw = text.encode("utf-8", "surrogatepass")
+                starts = [0, *(m.end() for m in re.finditer(b"\n", raw))]
+                for h in hits:
+                    k = bisect_right(starts, h["s"])
+                    column = len(raw[starts[k - 1] : h["s"]].decode("utf-8", "replace")) + 1
+                    out.append((doc, h["s"], h["rank"], f"{label}:{k}:{column}{h['rest']}"))
+            if out:
+                kinds = (batch.schema.field("doc_id").type, pa.int64(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "s", "rank", "line"])
+
+    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, s bigint, rank int, line string")
 
 
 def chosen_fixes(found: DataFrame) -> DataFrame:

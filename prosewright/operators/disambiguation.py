@@ -98,6 +98,9 @@ def disambiguate(sentences: DataFrame, rules: list[TagRule]) -> DataFrame:
     return sentences.select("doc_id", "sent", "toks").mapInArrow(run, sentences.select("doc_id", "sent", "toks").schema)
 
 
-def by_sentence(toks: DataFrame) -> DataFrame:
-    one = F.struct("tok", "text", "tags", "lemmas", "spaced", "s", "e")
-    return toks.groupBy("doc_id", "sent").agg(F.array_sort(F.collect_list(one)).alias("toks"))
+def disambiguated(toks: DataFrame, rules: list[TagRule]) -> DataFrame:
+    """Analysed tokens with the tags and lemmas that the rules leave (DIS-1); a sentence is one row meanwhile."""
+    rest = [c for c in toks.columns if c not in ("doc_id", "sent", "tok", "text", "tags", "lemmas", "spaced", "s", "e")]
+    one = F.struct("tok", "text", "tags", "lemmas", "spaced", "s", "e", *rest)
+    by = toks.groupBy("doc_id", "sent").agg(F.array_sort(F.collect_list(one)).alias("toks"))
+    return disambiguate(by, rules).select("doc_id", "sent", F.inline("toks")).select(*toks.columns)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from prosewright.functions.text import SPACE, capitalize_first
+from prosewright.operators import analysis
 
 
 @dataclass(frozen=True)
@@ -25,12 +25,8 @@ class Decoding:
 
 def words(docs: DataFrame) -> DataFrame:
     """Words by white space with byte spans (PRJ-13): doc_id, word_idx, word, s, e."""
-    tiles = docs.repartition("doc_id").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(rf"[{SPACE}]+|[^{SPACE}]+"), F.lit(0))).alias("i", "word"))
-    by = W.partitionBy("doc_id").orderBy("i")
-    size = F.octet_length("word").cast("long")
-    end = F.sum(size).over(by.rowsBetween(W.unboundedPreceding, 0))
-    rows = tiles.withColumn("e", end).withColumn("s", end - size).filter(~F.col("word").rlike(rf"\A[{SPACE}]"))
-    return rows.select("doc_id", (F.row_number().over(by) - 1).cast("long").alias("word_idx"), "word", "s", "e")
+    rows = analysis.cut(docs, "tokens", ("doc_id", "tok", "text", "s", "e"), plain=True)
+    return rows.withColumnsRenamed({"tok": "word_idx", "text": "word"})
 
 
 def gated(predictions: DataFrame, decoding: Decoding = Decoding()) -> DataFrame:
@@ -43,21 +39,20 @@ def gated(predictions: DataFrame, decoding: Decoding = Decoding()) -> DataFrame:
 
 def edited(word: Column, tag: Column, form: Column) -> Column:
     """The words that replace a word under its tag (PRJ-10, PRJ-11, PRJ-12); form is its verb form, if known (JON-14)."""
-    arg = F.regexp_extract(tag, r"^\$[A-Z]+_(.*)$", 1)
-    plural = F.when(word.rlike("(?:s|x|z|ch|sh)$"), F.concat(word, F.lit("es"))).otherwise(F.concat(word, F.lit("s")))
-    singular = F.regexp_replace(word, "s$", "")
+    arg = F.array_remove(F.split(F.regexp_extract(tag, r"^\$[A-Z]+_(.*)$", 1), r"\s+"), "")
     rest = word.substr(F.lit(2), F.char_length(word))
+    capital = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(x.substr(F.lit(2), F.char_length(x))))
     return (
         F.when(tag.isNull() | (tag == "$KEEP"), F.array(word))
         .when(tag == "$DELETE", F.array().cast("array<string>"))
-        .when(tag.startswith("$APPEND_"), F.array(word, arg))
-        .when(tag.startswith("$REPLACE_"), F.array(arg))
+        .when(tag.startswith("$APPEND_"), F.concat(F.array(word), arg))
+        .when(tag.startswith("$REPLACE_"), arg)
         .when(tag == "$TRANSFORM_CASE_LOWER", F.array(F.lower(word)))
         .when(tag == "$TRANSFORM_CASE_UPPER", F.array(F.upper(word)))
-        .when(tag == "$TRANSFORM_CASE_CAPITAL", F.array(capitalize_first(word)))
-        .when(tag == "$TRANSFORM_CASE_CAPITAL_1", F.array(F.concat(F.substring(word, 1, 1), F.upper(F.substring(rest, 1, 1)), rest.substr(F.lit(2), F.char_length(word)))))
-        .when(tag == "$TRANSFORM_AGREEMENT_PLURAL", F.array(plural))
-        .when(tag == "$TRANSFORM_AGREEMENT_SINGULAR", F.array(singular))
+        .when(tag == "$TRANSFORM_CASE_CAPITAL", F.array(capital(word)))
+        .when(tag == "$TRANSFORM_CASE_CAPITAL_1", F.array(F.concat(F.substring(word, 1, 1), capital(rest))))
+        .when(tag == "$TRANSFORM_AGREEMENT_PLURAL", F.array(F.concat(word, F.lit("s"))))
+        .when(tag == "$TRANSFORM_AGREEMENT_SINGULAR", F.array(F.substring(word, F.lit(1), F.char_length(word) - 1)))
         .when(tag == "$TRANSFORM_SPLIT_HYPHEN", F.split(word, "-"))
         .when(tag.startswith("$TRANSFORM_VERB_"), F.array(F.coalesce(form, word)))
         .otherwise(F.array(word))
@@ -67,7 +62,7 @@ def edited(word: Column, tag: Column, form: Column) -> Column:
 def apply_edits(rows: DataFrame, verbs: DataFrame, decoding: Decoding = Decoding()) -> DataFrame:
     """(doc_id, word_idx, sub_idx, word) after one pass over rows (doc_id, word_idx, word, tag and probabilities)."""
     marked = gated(rows, decoding).withColumn("verb", F.regexp_extract("tag", r"^\$TRANSFORM_VERB_(.*)$", 1))
-    forms = F.broadcast(verbs.select(F.col("word").alias("v_word"), F.col("tags").alias("v_tags"), "form"))
+    forms = verbs.select(F.col("word").alias("v_word"), F.col("tags").alias("v_tags"), "form")
     met = marked.join(forms, (F.col("word") == F.col("v_word")) & (F.col("verb") == F.col("v_tags")), "left")
     return met.select("doc_id", "word_idx", F.posexplode(edited(F.col("word"), F.col("tag"), F.col("form"))).alias("sub_idx", "word"))
 
@@ -115,12 +110,14 @@ def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 def differences(spans: list[tuple[int, int]], old: list[str], new: list[str]) -> list[tuple[int, int, str]]:
-    """Edits (s, e, replacement): changed runs; an insertion joins the word before it, or the first word at the start."""
+    """Edits (s, e, replacement): changed runs; an insertion joins the word before it, or the first word at the start.
+    Edits that put what is there are left out."""
     out, i, j = [], 0, 0
     for x, y in [*common(old, new), (len(old), len(new))]:
         gone, put = old[i:x], new[j:y]
         if gone:
-            out.append((spans[i][0], spans[x - 1][1], " ".join(put)))
+            if put != gone:
+                out.append((spans[i][0], spans[x - 1][1], " ".join(put)))
         elif put and i:
             out.append((*spans[i - 1], " ".join([old[i - 1], *put])))
         elif put and old:
@@ -152,17 +149,16 @@ def edit_word(word: str, tag: str, verbs: dict[tuple[str, str], str] | None = No
     if tag == "$DELETE":
         return []
     if head == "$APPEND":
-        return [word, arg]
+        return [word, *arg.split()]
     if head == "$REPLACE":
-        return [arg]
+        return arg.split()
     if head != "$TRANSFORM":
         return [word]
     if arg.startswith("VERB_"):
         return [(verbs or {}).get((word, arg[5:]), word)]
-    plural = word + ("es" if word.endswith(("s", "x", "z", "ch", "sh")) else "s")
     return {
-        "CASE_LOWER": [word.lower()], "CASE_UPPER": [word.upper()], "CASE_CAPITAL": [word[:1].upper() + word[1:]], "CASE_CAPITAL_1": [word[:1] + word[1:2].upper() + word[2:]],
-        "AGREEMENT_PLURAL": [plural], "AGREEMENT_SINGULAR": [word.removesuffix("s")], "SPLIT_HYPHEN": word.split("-"),
+        "CASE_LOWER": [word.lower()], "CASE_UPPER": [word.upper()], "CASE_CAPITAL": [word[:1].upper() + word[1:].lower()], "CASE_CAPITAL_1": [word[:1] + word[1:2].upper() + word[2:].lower()],
+        "AGREEMENT_PLURAL": [word + "s"], "AGREEMENT_SINGULAR": [word[:-1]], "SPLIT_HYPHEN": word.split("-"),
     }.get(arg, [word])
 
 
@@ -183,9 +179,9 @@ def diagnostics(docs: DataFrame, predict: Predictor, decoding: Decoding = Decodi
                 if new != old:
                     spans = [(size(m.start()), size(m.end())) for m in found]
                     raw = text.encode("utf-8", "surrogatepass")
-                    rows += [(doc, s, e, "NEURAL", "Possible grammar mistake.", [put], "Neural", k) for k, (s, e, put) in enumerate(differences(spans, old, new)) if raw[s:e].decode() != put]
+                    rows += [(doc, s, e, "NEURAL", "Possible grammatical error.", [put], "Neural", raw[s:e].decode("utf-8", "replace")) for s, e, put in differences(spans, old, new)]
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "s", "e", "code", "message", "suggestions", "source", "seq"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "s", "e", "code", "message", "suggestions", "source", "surface"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, s bigint, e bigint, code string, message string, suggestions array<string>, source string, seq bigint")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, s bigint, e bigint, code string, message string, suggestions array<string>, source string, surface string")

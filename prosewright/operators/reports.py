@@ -16,6 +16,12 @@ def tail(x: Column, n: int) -> Column:
     return F.when(F.char_length(x) > n, F.right(x, F.lit(n))).otherwise(x)
 
 
+def title_case(x: Column) -> Column:
+    """Each word with a capital, the rest as it is (FN-9)."""
+    words = F.transform(F.split(x, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.char_length(w))))
+    return F.array_join(words, " ")
+
+
 def strip_ansi(x: Column) -> Column:
     """Text without terminal colour codes (FN-9)."""
     return F.regexp_replace(x, "\x1b\\[[0-9;]*[A-Za-z]", "")

@@ -1,8 +1,8 @@
 """Layer 2: the rule language, its compilation to columns, and a matcher for rules of variable length.
 
-A rule is a sequence of elements. Rules whose elements all occur exactly once, without gaps, compile to boolean
-columns over the following tokens; all others run in the matcher, per document. Both give the same hits, whose first
-per (span, id) in the order (start token, general before literal, rule number) stays.
+A rule is a sequence of elements. Rules that can lie over the following tokens in few ways compile to columns; all
+others, and packs of very many rules, run in the matcher, per document. Both give the same hits, whose first per
+(span, id) in the order (start token, general before literal, rule number) stays. Rules over the whole text come last.
 """
 
 from __future__ import annotations
@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 from prosewright.functions.text import apply_case, ascii_fold, distinct_nonempty
 
 UNBOUNDED = 64
+#: Of a rule in columns: the ways it can lie, and the tokens it spans. Rules in one projection, and in columns at all.
+MOST_WAYS, MOST_TOKENS, AT_ONCE, IN_COLUMNS = 24, 16, 40, 200
+#: The start of hits by rules over the text, which come after all others.
+TEXT_START = 1 << 62
 
 
 @dataclass(frozen=True)
@@ -84,10 +88,6 @@ class Rule:
     message: str = ""
     antipatterns: tuple[tuple[Token | Group, ...], ...] = field(default=())
 
-    @property
-    def fixed(self) -> bool:
-        return all(e.bounds == (1, 1, 0) for p in (self.pattern, *self.antipatterns) for e in p)
-
 
 # the dialect (PAT-8)
 
@@ -201,42 +201,87 @@ def render_message(message: str, n: int, surface) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
+def ways(pattern: tuple) -> list[list[tuple[int, int] | None]] | None:
+    """All ways in which a pattern of bounded repetitions and gaps can lie over the following tokens, in the order of the
+    matcher's preference: of each element its (start, stop), or None where it is left out. None if there are too many."""
+    out: list[list[tuple[int, int] | None]] = []
+
+    def lay(k: int, at: int, so_far: list) -> bool:
+        if k == len(pattern):
+            out.append(so_far)
+            return len(out) <= MOST_WAYS and at <= MOST_TOKENS
+        least, most, gap = pattern[k].bounds
+        if most == UNBOUNDED or gap == UNBOUNDED:
+            return False
+        last = k + 1 == len(pattern)
+        return all(lay(k + 1, at + c + g, [*so_far, (at, at + c) if c else None]) for c in range(least, most + 1) for g in range(1 if last else gap + 1))
+
+    # a match of no tokens ends the search without a hit, which columns don't say
+    return out if pattern[0].bounds[0] > 0 and lay(0, 0, []) else None
+
+
+def in_columns(rule: Rule) -> bool:
+    return all(e.bounds == (1, 1, 0) for p in rule.antipatterns for e in p) and ways(rule.pattern) is not None
+
+
 def hits_by_columns(toks: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
-    """Hits of fixed rules: doc_id, start, stop (tokens), first, last (marked), s, e, rule, literal, id, message,
-    suggestions. toks has text, fold, tags, lemmas, spaced, s, e, tok and lies dealt by doc_id."""
-    longest = max((len(p) for _, r in rules for p in (r.pattern, *r.antipatterns)), default=1)
+    """Hits of rules for which in_columns holds, in the columns of HIT: each rule is one expression over a token and those
+    that follow. toks has text, fold, tags, lemmas, spaced, s, e, gap and tok. Antipatterns are flags of their first
+    tokens, looked for around a match by windows over the same rows."""
+    laid = {number: ways(rule.pattern) for number, rule in rules}
+    longest = max([w[-1][1] if w[-1] else max(x[1] for x in w if x) for ws in laid.values() for w in ws] + [len(p) for _, r in rules for p in r.antipatterns], default=1)
     by = W.partitionBy("doc_id").orderBy("tok")
-    one = F.struct("text", "fold", "tags", "lemmas", "spaced", "s", "e")
-    rows = toks.select("doc_id", "tok", *(F.lead(one, i).over(by).alias(f"t{i}") if i else one.alias("t0") for i in range(longest)))
-    found, against = [], []
+    one = F.struct("text", "fold", "tags", "lemmas", "spaced", "s", "e", "gap")
+    ahead = [F.lead(one, i).over(by).alias(f"t{i}") if i else one.alias("t0") for i in range(longest)]
+    rows = toks.select("doc_id", "tok", *ahead)
+    flags = {}
     for number, rule in rules:
-        n = len(rule.pattern)
-        surface = lambda k: F.col(f"t{k - 1}")["text"]
-        ok = reduce(lambda a, b: a & b, (element_column(e, F.col(f"t{i}")) for i, e in enumerate(rule.pattern)))
-        marked = [i for i, e in enumerate(rule.pattern) if e.marked] or [0, n - 1]
-        hit = F.struct(
-            F.lit(number).alias("rule"), F.lit(n).alias("n"), F.lit(0 if first_literal(rule) is None else 1).alias("literal"), F.lit(rule.id).alias("id"),
-            F.col(f"t{min(marked)}")["s"].alias("s"), F.col(f"t{max(marked)}")["e"].alias("e"),
-            render_message(rule.message, n, surface).alias("message"), distinct_nonempty(F.array(*(render(p, surface) for p in rule.suggestions))).alias("suggestions"),
-        )
-        found.append(F.when(F.coalesce(ok, F.lit(False)), hit))
-        for p in rule.antipatterns:
+        for j, p in enumerate(rule.antipatterns):
             ok = reduce(lambda a, b: a & b, (element_column(e, F.col(f"t{i}")) for i, e in enumerate(p)))
-            against.append(F.when(F.coalesce(ok, F.lit(False)), F.struct(F.lit(number).alias("rule"), F.lit(len(p)).alias("n"))))
-    hits = rows.select("doc_id", "tok", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("h")).select("doc_id", F.col("tok").alias("start"), (F.col("tok") + F.col("h.n")).alias("stop"), "h.rule", "h.literal", "h.id", "h.s", "h.e", "h.message", "h.suggestions")
-    hits = hits.filter(F.size("suggestions") > 0)
-    if against:
-        anti = rows.select("doc_id", "tok", F.explode(F.filter(F.array(*against), lambda x: x.isNotNull())).alias("a")).select("doc_id", F.col("a.rule").alias("rule"), F.col("tok").alias("a_from"), (F.col("tok") + F.col("a.n")).alias("a_stop"))
-        same = (hits["doc_id"] == anti["doc_id"]) & (hits["rule"] == anti["rule"])
-        hits = hits.join(anti, same & (anti["a_from"] < hits["stop"]) & (hits["start"] < anti["a_stop"]), "left_anti")
-    return hits
+            flags[f"a{number}_{j}"] = F.coalesce(ok, F.lit(False))
+    rows = rows.withColumns(flags) if flags else rows
+
+    def surface(span: tuple[int, int]) -> Column:
+        a, b = span
+        return F.concat(F.col(f"t{a}")["text"], *(x for i in range(a + 1, b) for x in (F.col(f"t{i}")["gap"], F.col(f"t{i}")["text"])))
+
+    around = {}
+    found = []
+    for number, rule in rules:
+        cases = None
+        for way in laid[number]:
+            stop = max(x[1] for x in way if x)
+            ok = reduce(lambda a, b: a & b, (element_column(e, F.col(f"t{i}")) for e, x in zip(rule.pattern, way, strict=True) if x for i in range(*x)))
+            marked = [x for x, e in zip(way, rule.pattern, strict=True) if e.marked and x]
+            if marked or not any(e.marked for e in rule.pattern):
+                a, b = (min(x[0] for x in marked), max(x[1] for x in marked)) if marked else (0, stop)
+                part = lambda k, way=way: surface(way[k - 1]) if way[k - 1] else F.lit(None).cast("string")
+                named = lambda k, way=way: surface(way[k - 1]) if way[k - 1] else F.lit(f"\\{k}")
+                hit = F.struct(
+                    F.lit(number).alias("rule"), F.lit(stop).alias("n"), F.lit(0 if first_literal(rule) is None else 1).alias("literal"), F.lit(rule.id).alias("id"),
+                    F.col(f"t{a}")["s"].alias("s"), F.col(f"t{b - 1}")["e"].alias("e"), render_message(rule.message, len(way), named).alias("message"),
+                    distinct_nonempty(F.array(*(render(p, part) for p in rule.suggestions))).alias("suggestions"), surface((a, b)).alias("surface"),
+                )
+                for j, p in enumerate(rule.antipatterns):
+                    name = f"w{number}_{j}_{stop}"
+                    around[name] = F.max(f"a{number}_{j}").over(by.rowsBetween(1 - len(p), stop - 1))
+                    hit = F.when(~F.col(name), hit)
+            else:
+                hit = F.lit(None)
+            ok = F.coalesce(ok, F.lit(False))
+            cases = F.when(ok, hit) if cases is None else cases.when(ok, hit)
+        found.append(cases)
+    rows = rows.withColumns(around) if around else rows
+    hits = rows.select("doc_id", "tok", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("h"))
+    return hits.select("doc_id", F.col("tok").alias("start"), (F.col("tok") + F.col("h.n")).alias("stop"), "h.rule", "h.literal", "h.id", "h.s", "h.e", "h.message", "h.suggestions", "h.surface").filter(F.size("suggestions") > 0)
 
 
 def first_hits(hits: DataFrame) -> DataFrame:
-    """The first hit of each (span, id) in push order (PAT-2, WIN-7), in the columns of diagnostics."""
+    """The first hit of each (span, id) in push order (PAT-2, WIN-7): token rules by start, general before literal ones,
+    then rules over the text. In the columns of diagnostics, with start."""
     order = W.partitionBy("doc_id", "s", "e", "id").orderBy("start", "literal", "rule")
     kept = hits.withColumn("rn", F.row_number().over(order)).filter("rn = 1")
-    return kept.select("doc_id", "s", "e", F.col("id").alias("code"), "message", "suggestions", F.lit("Grammar").alias("source"), F.col("start").alias("seq"))
+    return kept.select("doc_id", "s", "e", F.col("id").alias("code"), "message", "suggestions", F.lit("Grammar").alias("source"), "surface", "start")
 
 
 # the matcher
@@ -268,30 +313,44 @@ def element_token(e: Token | Group, tok: dict) -> bool:
 
 def match_at(pattern: tuple, toks: list[dict], start: int) -> tuple[int, list[tuple[int, int] | None]] | None:
     """The end and the captures of the first match in lazy order: fewest repetitions, then the shortest gap (PAT-1).
+    Whether the rest of a pattern matches from a place doesn't hang on what came before, so failures are remembered."""
+    failed: set[tuple[int, int]] = set()
+    caught: list[tuple[int, int] | None] = [None] * len(pattern)
 
-    An explicit stack of (element, place, captures so far), pushed in reverse order of preference.
-    """
-    stack: list[tuple[int, int, tuple]] = [(0, start, ())]
-    while stack:
-        k, at, caught = stack.pop()
+    def go(k: int, at: int) -> int | None:
         if k == len(pattern):
-            return at, list(caught)
+            return at
+        if (k, at) in failed:
+            return None
         least, most, gap = pattern[k].bounds
-        run = 0
-        while run < min(most, len(toks) - at) and element_token(pattern[k], toks[at + run]):
-            run += 1
-        nexts = [(k + 1, at + c + g, (*caught, (at, at + c) if c else None)) for c in range(least, run + 1) for g in range(min(gap, len(toks) - at - c) + 1)]
-        stack += reversed(nexts)
-    return None
+        for c in range(min(most, len(toks) - at) + 1):
+            if c and not element_token(pattern[k], toks[at + c - 1]):
+                break
+            if c >= least:
+                for g in range(min(gap, len(toks) - at - c) + 1):
+                    if (end := go(k + 1, at + c + g)) is not None:
+                        caught[k] = (at, at + c) if c else None
+                        return end
+        failed.add((k, at))
+        return None
 
+    end = go(0, start)
+    return None if end is None else (end, caught)
 
-def suppressed(rule: Rule, toks: list[dict], start: int, end: int) -> bool:
-    """Whether an antipattern overlaps [start, end) (PAT-4)."""
+
+def spans_of(pattern: tuple, toks: list[dict]) -> list[tuple[int, int]]:
+    """All matches of an antipattern, one from each place."""
+    return [(k, m[0]) for k in range(len(toks)) if (m := match_at(pattern, toks, k)) and m[0] > k]
+
+
+def suppressed(rule: Rule, toks: list[dict], start: int, end: int, seen: dict | None = None) -> bool:
+    """Whether an antipattern overlaps [start, end) (PAT-4). seen holds a document's matches by antipattern, found once."""
+    seen = {} if seen is None else seen
     for p in rule.antipatterns:
-        for k in range(end):
-            m = match_at(p, toks, k)
-            if m and m[0] > k and start < m[0]:
-                return True
+        if id(p) not in seen:
+            seen[id(p)] = spans_of(p, toks)
+        if any(k < end and start < stop for k, stop in seen[id(p)]):
+            return True
     return False
 
 
@@ -306,12 +365,12 @@ def cased(x: str, case: str) -> str:
     return {"keep": x, "upper": x.upper(), "lower": x.lower(), "start_upper": x[:1].upper() + x[1:]}[case]
 
 
-def hit_at(number: int, rule: Rule, toks: list[dict], raw: bytes, start: int) -> dict | None:
+def hit_at(number: int, rule: Rule, toks: list[dict], raw: bytes, start: int, seen: dict) -> dict | None:
     m = match_at(rule.pattern, toks, start)
     if m is None:
         return None
     end, caught = m
-    if suppressed(rule, toks, start, end):
+    if suppressed(rule, toks, start, end, seen):
         return None
     spans = [c for c, e in zip(caught, rule.pattern, strict=True) if e.marked and c]
     if any(e.marked for e in rule.pattern) and not spans:
@@ -335,27 +394,41 @@ def hit_at(number: int, rule: Rule, toks: list[dict], raw: bytes, start: int) ->
             out.append(t)
     if not out:
         return None
-    message = re.sub(r"\\(\d+)", lambda g: surface(int(g[1])) or g[0], rule.message)
-    return {"start": start, "stop": end, "rule": number, "literal": 0 if first_literal(rule) is None else 1, "id": rule.id, "s": toks[a]["s"], "e": toks[b - 1]["e"], "message": message, "suggestions": out}
-
-
-def match_document(rules: list[tuple[int, Rule]], toks: list[dict], text: str) -> list[dict]:
+    message = re.sub(r"\\(\d+)", lambda g: g[0] if (x := surface(int(g[1]))) is None else x, rule.message)
+    return {"start": start, "stop": end, "rule": number, "literal": 0 if first_literal(rule) is None else 1, "id": rule.id, "s": toks[a]["s"], "e": toks[b - 1]["e"], "message": message, "suggestions": out, "surface": raw[toks[a]["s"] : toks[b - 1]["e"]].decode("utf-8", "replace")}
+
+
+class Index:
+    """Which rules can begin at a token (PAT-3): those with its word as first literal and, of the others, those whose
+    first element accepts it. The latter depend on the token's text, tags, lemmas and spacing alone, and are kept for
+    the tokens met last."""
+
+    def __init__(self, rules: list[tuple[int, Rule]]):
+        self.by_word: dict[str, list[tuple[int, Rule]]] = {}
+        self.general = []
+        for number, rule in rules:
+            word = first_literal(rule)
+            (self.general if word is None else self.by_word.setdefault(word, [])).append((number, rule))
+        self.kept: dict[tuple, list[tuple[int, Rule]]] = {}
+
+    def rules_at(self, tok: dict) -> list[tuple[int, Rule]]:
+        kind = (tok["text"], tuple(tok["tags"]), tuple(tok["lemmas"]), tok["spaced"])
+        found = self.kept.get(kind)
+        if found is None:
+            found = [(n, r) for n, r in self.general if not r.pattern[0].bounds[0] or element_token(r.pattern[0], tok)] + self.by_word.get(fold(tok["text"]), [])
+            if len(self.kept) >= 50_000:
+                self.kept.clear()
+            self.kept[kind] = found
+        return found
+
+
+def match_document(index: Index, toks: list[dict], text: str) -> list[dict]:
     """All hits of a document, in push order."""
-    raw = text.encode("utf-8", "surrogatepass")
-    by_word: dict[str, list[tuple[int, Rule]]] = {}
-    general = []
-    for number, rule in rules:
-        word = first_literal(rule)
-        (general if word is None else by_word.setdefault(word, [])).append((number, rule))
-    out = []
-    for start, tok in enumerate(toks):
-        for number, rule in [*general, *by_word.get(fold(tok["text"]), [])]:
-            if hit := hit_at(number, rule, toks, raw, start):
-                out.append(hit)
-    return out
+    raw, seen = text.encode("utf-8", "surrogatepass"), {}
+    return [hit for start, tok in enumerate(toks) for number, rule in index.rules_at(tok) if (hit := hit_at(number, rule, toks, raw, start, seen))]
 
 
-HIT = "start bigint, stop bigint, rule int, literal int, id string, s bigint, e bigint, message string, suggestions array<string>"
+HIT = "start bigint, stop bigint, rule int, literal int, id string, s bigint, e bigint, message string, suggestions array<string>, surface string"
 
 
 def gathered(toks: DataFrame, docs: DataFrame) -> DataFrame:
@@ -365,27 +438,37 @@ def gathered(toks: DataFrame, docs: DataFrame) -> DataFrame:
     return toks.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("toks")).join(docs.select("doc_id", F.col("text").alias("whole")), "doc_id")
 
 
+def rows_of_hits(rows: list[dict], kind: pa.DataType) -> pa.RecordBatch:
+    kinds = {"doc_id": kind, "rule": pa.int32(), "literal": pa.int32(), "id": pa.string(), "message": pa.string(), "suggestions": pa.list_(pa.string()), "surface": pa.string()}
+    names = ["doc_id", *(x.split(" ")[0] for x in HIT.split(", "))]
+    return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds.get(n, pa.int64())) for n in names], names)
+
+
 def hits_by_matcher(toks: DataFrame, docs: DataFrame, rules: list[tuple[int, Rule]]) -> DataFrame:
-    """The same hits for rules of any form, by the matcher on whole documents."""
-    names = [x.split(" ")[0] for x in HIT.split(", ")]
+    """The same hits for rules of any form and number, by the matcher on whole documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(rules)
         for batch in batches:
-            rows = [{"doc_id": d} | h for d, ts, w in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toks", "whole")), strict=True) for h in match_document(rules, ts, w)]
+            rows = [{"doc_id": d} | h for d, ts, w in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "toks", "whole")), strict=True) for h in match_document(index, ts, w)]
             if rows:
-                kinds = {"rule": pa.int32(), "literal": pa.int32(), "id": pa.string(), "message": pa.string(), "suggestions": pa.list_(pa.string())}
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kinds.get(n, pa.int64())) for n in ("doc_id", *names)], ["doc_id", *names])
+                yield rows_of_hits(rows, batch.schema.field("doc_id").type)
 
-    return gathered(toks, docs).mapInArrow(run, f"doc_id bigint, {HIT}")
+    return gathered(toks, docs).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {HIT}")
 
 
-def hits(toks: DataFrame, docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Hits of all rules that can run: fixed ones by columns, the others by the matcher."""
-    ready = [(k, r) for k, (r, _) in enumerate(prepare(rules)) if r]
-    fixed, free = [x for x in ready if x[1].fixed], [x for x in ready if not x[1].fixed]
-    parts = ([hits_by_columns(toks, fixed)] if fixed else []) + ([hits_by_matcher(toks, docs, free)] if free else [])
+def hits(toks: DataFrame, docs: DataFrame, rules: list[Rule | TextRule]) -> DataFrame:
+    """Hits of all rules that can run: by columns where few rules lie in few ways, by the matcher else, and those of rules
+    over the text."""
+    tokened = [(k, r) for k, r in enumerate(rules) if isinstance(r, Rule)]
+    ready = [(k, got) for (k, _), (got, _) in zip(tokened, prepare([r for _, r in tokened]), strict=True) if got]
+    flat = [x for x in ready if in_columns(x[1])] if len(ready) <= IN_COLUMNS else []
+    free = [x for x in ready if x not in flat]
+    parts = [hits_by_columns(toks, flat[k : k + AT_ONCE]) for k in range(0, len(flat), AT_ONCE)] + ([hits_by_matcher(toks, docs, free)] if free else [])
+    over = [(k, r) for k, r in enumerate(rules) if isinstance(r, TextRule)]
+    parts += [text_hits(docs, over)] if over else []
     names = ["doc_id", *(x.split(" ")[0] for x in HIT.split(", "))]
-    return reduce(lambda a, b: a.select(names).unionByName(b.select(names)), parts).select(names)
+    return reduce(lambda a, b: a.unionByName(b), (x.select(names) for x in parts))
 
 
 # rules over the whole text (PAT-7)
@@ -401,33 +484,42 @@ class TextRule:
     case_sensitive: bool = False
 
 
-def text_hits(docs: DataFrame, rules: list[TextRule]) -> DataFrame:
-    """One hit per non-overlapping match, in the order of rules and matches: doc_id, s, e, id, message, suggestions,
-    rule, nth. Needs match positions, which column functions do not give."""
-    ready = [(k, r) for k, r in enumerate(rules) if accepted(r.pattern)]
+def text_hits(docs: DataFrame, rules: list[tuple[int, TextRule]]) -> DataFrame:
+    """One hit per non-overlapping match, in the order of rules and matches, in the columns of HIT: start orders them
+    behind all token hits. A mark that takes no part in a match is the whole match. Needs match positions, which column
+    functions do not give."""
+    ready = [(k, r) for k, r in rules if accepted(r.pattern)]
+
+    def group(m, no: int) -> str | None:
+        return m.group(no) if no <= m.re.groups else None
+
+    def made(m, parts: tuple) -> str | None:
+        out = []
+        for p in parts:
+            x = p if isinstance(p, str) else group(m, p.no)
+            if x is None:
+                return None
+            out.append(x if isinstance(p, str) else cased(_regex(p.match, False).sub(p.put.replace("$", "\\"), x) if p.match is not None else x, p.case))
+        return "".join(out)
+
+    def found(doc, text: str) -> Iterator[dict]:
+        for k, rule in ready:
+            for m in _regex(rule.pattern, not rule.case_sensitive).finditer(text):
+                fixes = list(dict.fromkeys(t for parts in rule.suggestions if (t := made(m, parts))))
+                if fixes:
+                    mark = rule.mark if rule.mark <= m.re.groups and m.start(rule.mark) >= 0 else 0
+                    a, b = m.span(mark)
+                    s, message = len(text[:a].encode("utf-8", "surrogatepass")), re.sub(r"\\(\d+)", lambda g, m=m: g[0] if (x := group(m, int(g[1]))) is None else x, rule.message)
+                    e = s + len(text[a:b].encode("utf-8", "surrogatepass"))
+                    yield {"doc_id": doc, "start": TEXT_START, "stop": TEXT_START, "rule": k, "literal": 0, "id": rule.id, "s": s, "e": e, "message": message, "suggestions": fixes, "surface": text[a:b]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for k, rule in ready:
-                    for nth, m in enumerate(_regex(rule.pattern, not rule.case_sensitive).finditer(text or "")):
-                        if m.start(rule.mark) < 0 or m.start(rule.mark) == m.end(rule.mark):
-                            continue
-                        made = []
-                        for parts in rule.suggestions:
-                            xs = [p if isinstance(p, str) else m.group(p.no) if p.no <= m.re.groups else None for p in parts]
-                            xs = [x if isinstance(p, str) or x is None else cased(x, p.case) for p, x in zip(parts, xs, strict=True)]
-                            if None not in xs and (t := "".join(xs)) and t not in made:
-                                made.append(t)
-                        if made:
-                            a, b = (len(text[:i].encode("utf-8", "surrogatepass")) for i in m.span(rule.mark))
-                            rows.append((doc, a, b, rule.id, rule.message, made, k, nth))
+            rows = [h for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for h in found(doc, text or "")]
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "s", "e", "id", "message", "suggestions", "rule", "nth"])
+                yield rows_of_hits(rows, batch.schema.field("doc_id").type)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, s bigint, e bigint, id string, message string, suggestions array<string>, rule int, nth int")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {HIT}")
 
 
 def skip_reasons(rules: list[Rule]) -> list[tuple[str, bool, str]]:

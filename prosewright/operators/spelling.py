@@ -21,15 +21,15 @@ def checkable(text: Column, lang: Column) -> Column:
     return out
 
 
-def unknown_words(toks: DataFrame, lexicon: DataFrame, split: bool = False) -> DataFrame:
-    """(lang, word, n): checkable lower-cased words outside the lexicon, by exact or lower-cased surface (JON-2). With
-    split, words that split into known ones count as known in languages that compound (CMP-3)."""
+def unknown_words(toks: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """(lang, word, n): checkable lower-cased words outside the lexicon, by exact or lower-cased surface (JON-2), that are
+    no compounds of known words either (CMP-3)."""
     words = toks.filter(checkable(F.col("text"), F.col("lang"))).groupBy("lang", strip_marks(F.col("text")).alias("surface")).agg(F.count("*").alias("n"))
     known = lexicon.select("lang", "surface").distinct()
     left = words.join(known, ["lang", "surface"], "left_anti").withColumn("word", F.lower("surface"))
     left = left.join(known.withColumnRenamed("surface", "word"), ["lang", "word"], "left_anti")
     left = left.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    return left.join(compounds.found(left, lexicon).select("lang", "word").hint("merge"), ["lang", "word"], "left_anti") if split else left
+    return left.join(compounds.found(left, lexicon).select("lang", "word"), ["lang", "word"], "left_anti")
 
 
 def _signatures(words: DataFrame, name: str) -> DataFrame:
@@ -63,15 +63,14 @@ def suggestions(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     return candidates(words, lexicon).groupBy("lang", "word").agg(F.slice(F.array_sort(F.collect_set("candidate")), 1, SUGGESTIONS).alias("suggestions"))
 
 
-def diagnostics(toks: DataFrame, lexicon: DataFrame, split: bool = False) -> DataFrame:
-    """SPELL diagnostics (§ L1): doc_id, s, e, code, message, suggestions, source, seq."""
-    words = unknown_words(toks, lexicon, split)
+def diagnostics(toks: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """SPELL diagnostics (§ L1): doc_id, s, e, code, message, suggestions, source, surface."""
+    words = unknown_words(toks, lexicon)
     known = words.join(suggestions(words, lexicon), ["lang", "word"], "left").select("lang", "word", "suggestions")
-    rows = toks.filter(checkable(F.col("text"), F.col("lang"))).withColumn("word", F.lower(strip_marks(F.col("text"))))
-    exact = lexicon.select("lang", F.col("surface").alias("text")).distinct()
-    rows = rows.join(exact, ["lang", "text"], "left_anti").join(known, ["lang", "word"])
+    rows = toks.filter(checkable(F.col("text"), F.col("lang"))).withColumns({"surface": strip_marks(F.col("text")), "word": F.lower(strip_marks(F.col("text")))})
+    rows = rows.join(known, ["lang", "word"]).join(lexicon.select("lang", "surface").distinct(), ["lang", "surface"], "left_anti")
     message = F.lit(config.LANGS["en"].spell_message)
     for x in config.LANGS.values():
         message = F.when(F.col("lang") == x.code, x.spell_message).otherwise(message)
     cased = F.transform(F.coalesce("suggestions", F.array().cast("array<string>")), lambda c: recase(F.col("text"), c))
-    return rows.select("doc_id", "s", "e", F.lit("SPELL").alias("code"), message.alias("message"), cased.alias("suggestions"), F.lit("Spelling").alias("source"), F.col("tok").alias("seq"))
+    return rows.select("doc_id", "s", "e", F.lit("SPELL").alias("code"), message.alias("message"), cased.alias("suggestions"), F.lit("Spelling").alias("source"), F.col("text").alias("surface"))

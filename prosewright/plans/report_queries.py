@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from prosewright import config
-from prosewright.functions.text import byte_slice
 from prosewright.operators import analysis, reports
-from prosewright.plans.base import LEXICON, TAGGED, TOKENS, documents, quoted, read, tagged
+from prosewright.plans.base import LEXICON, TAGGED, TOKENS, documents, read, tagged
 
 QUERIES, SQL = {}, {}
 
@@ -26,33 +26,26 @@ SELECT lang, count(*) AS sentences, count(DISTINCT t) AS distinct_sentences FROM
 def distinct_sentences(spark: SparkSession, d: str) -> DataFrame:
     """SET-3"""
     docs = documents(spark, d)
-    rows = analysis.sentences(docs).join(docs, "doc_id").select("lang", byte_slice(F.col("text"), F.col("s"), F.col("e")).alias("t"))
-    counts = rows.groupBy("lang", "t").agg(F.count("*").alias("n"))
+    counts = analysis.sentences(docs).groupBy("lang", F.col("text").alias("t")).agg(F.count("*").alias("n"))
     return counts.groupBy("lang").agg(F.sum("n").alias("sentences"), F.count("*").alias("distinct_sentences"))
 
 
-@query(f"WITH {TOKENS}, {LEXICON}, {TAGGED} SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM tagged) GROUP BY 1 ORDER BY n DESC, tag LIMIT 10")
+@query(f"WITH RECURSIVE {TOKENS}, {LEXICON}, {TAGGED} SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM tagged) GROUP BY 1 ORDER BY n DESC, tag LIMIT 10")
 def top_tags(spark: SparkSession, d: str) -> DataFrame:
     """SRT-6, AGG-12"""
     return reports.top(tagged(spark, d).select(F.explode("tags").alias("tag")), "tag", 10)
 
 
 @query(r"""SELECT doc_id, CASE WHEN length(text) > 12 THEN text[1:12] || '…' ELSE text END AS head, text[-9:] AS tail,
-CASE WHEN regexp_extract(text, 'the[^0-9]*([0-9]+)', 1) <> '' THEN regexp_extract(text, 'the[^0-9]*([0-9]+)', 1)::BIGINT END AS num, length(text) AS plain FROM documents WHERE n_chars < 400""")
+CASE WHEN regexp_extract(text, 'the[^0-9]*([0-9]+)', 1) <> '' THEN regexp_extract(text, 'the[^0-9]*([0-9]+)', 1)::BIGINT END AS num, length(text) AS plain,
+upper(lang[1]) || lang[2:] || ' ' || upper(source[1]) || source[2:] AS title FROM documents""")
 def text_helpers(spark: SparkSession, d: str) -> DataFrame:
-    """FN-9, on documents of under 400 characters; text_helpers_all has all"""
-    return helped(read(spark, d, "documents").filter("n_chars < 400"))
-
-
-def helped(docs: DataFrame) -> DataFrame:
-    colour = F.concat(F.lit("\x1b[31m"), F.col("text"), F.lit("\x1b[0m"))
-    return docs.select("doc_id", reports.truncate(F.col("text"), 12).alias("head"), reports.tail(F.col("text"), 9).alias("tail"), reports.number_after(F.col("text"), "the").alias("num"), F.char_length(reports.strip_ansi(colour)).cast("bigint").alias("plain"))
-
-
-@query(SQL["text_helpers"].removesuffix(" WHERE n_chars < 400"))
-def text_helpers_all(spark: SparkSession, d: str) -> DataFrame:
     """FN-9, on all documents"""
-    return helped(read(spark, d, "documents"))
+    colour = F.concat(F.lit("\x1b[31m"), F.col("text"), F.lit("\x1b[0m"))
+    return read(spark, d, "documents").select(
+        "doc_id", reports.truncate(F.col("text"), 12).alias("head"), reports.tail(F.col("text"), 9).alias("tail"), reports.number_after(F.col("text"), "the").alias("num"),
+        F.char_length(reports.strip_ansi(colour)).cast("bigint").alias("plain"), reports.title_case(F.concat_ws(" ", "lang", "source")).alias("title"),
+    )
 
 
 @query("SELECT lang, count(*) AS docs, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY 1")
@@ -61,27 +54,31 @@ def bytes_by_language(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.octet_length("text").cast("bigint")).alias("bytes"))
 
 
-VERSIONS = ["5.8", "6.0", "6.10", "6.2", "6.7"]
-
-
-@query("SELECT * FROM (VALUES ('6.0', 1, 6), ('6.2', 2, 2), ('6.7', 3, 7)) t(version, place, n)")
+@query("""SELECT event_type AS version, row_number() OVER (ORDER BY length(event_type), event_type) - 1 AS place, count(*) AS n FROM events GROUP BY 1
+QUALIFY length(event_type) >= (SELECT min(length(event_type)) FROM events) + 1""")
 def version_slice(spark: SparkSession, d: str) -> DataFrame:
-    """SRT-7: by the list's own order, not by spelling"""
-    order = spark.createDataFrame(list(enumerate(["5.8", "6.0", "6.2", "6.7", "6.10"])), "at int, version string").select("version", "at")
-    rows = spark.createDataFrame([(v, len(v) * 2 if v == "6.0" else int(v[-1])) for v in VERSIONS], "version string, n int")
-    return reports.between_versions(rows, order, "6.0", "6.7").select("version", F.col("at").alias("place"), "n")
+    """SRT-7: from one to the last in an order of its own (by length), not by spelling"""
+    rows = read(spark, d, "events").groupBy(F.col("event_type").alias("version")).agg(F.count("*").alias("n"))
+    order = rows.select("version", (F.row_number().over(W.orderBy(F.char_length("version"), "version")) - 1).alias("at"))
+    names = [r.version for r in order.orderBy("at").collect()]  # a handful of kinds
+    first = next(v for v in names if len(v) > len(names[0]))
+    return reports.between_versions(rows, order, first, names[-1]).select("version", F.col("at").alias("place"), "n")
 
 
-@query("SELECT * FROM (VALUES ('a', 10, NULL), ('b', 7, 5)) t(name, gzip_bytes, brotli_bytes)")
+@query("""SELECT 'd' || doc_id AS name, n_chars AS gzip_bytes, CASE WHEN doc_id % 2 = 1 THEN n_chars // 2 END AS brotli_bytes FROM documents""")
 def manifest_lifting(spark: SparkSession, d: str) -> DataFrame:
-    """PRJ-23"""
-    return reports.lifted_manifest(spark.createDataFrame([('{"name": "a", "bytes": 10}',), ('{"name": "b", "gzip": {"bytes": 7}, "brotli": {"bytes": 5}}',)], "value string"))
+    """PRJ-23: entries made of the documents, the even ones in the old shape"""
+    docs, name = read(spark, d, "documents"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name")
+    old = F.to_json(F.struct(name, F.col("n_chars").alias("bytes")))
+    new = F.to_json(F.struct(name, F.struct(F.col("n_chars").alias("bytes")).alias("gzip"), F.struct(F.floor(F.col("n_chars") / 2).alias("bytes")).alias("brotli")))
+    return reports.lifted_manifest(docs.select(F.when(F.col("doc_id") % 2 == 0, old).otherwise(new).alias("value")))
 
 
-@query("SELECT * FROM (VALUES ('NN', 2), ('V.*', 1)) t(tag, n)")
+@query("SELECT lang || ':' || source AS tag, count(*) + count_if(doc_id % 3 = 0) AS n FROM documents GROUP BY 1")
 def tag_references(spark: SparkSession, d: str) -> DataFrame:
-    """AGG-13"""
-    return reports.tag_references(spark.createDataFrame([('<token postag="NN"/><token postag="V.*"/>',), ('<token postag="NN">x</token>',)], "value string"))
+    """AGG-13: rule lines made of the documents, every third of which names its tag twice"""
+    tag = F.concat(F.lit('<token postag="'), F.col("lang"), F.lit(":"), F.col("source"), F.lit('"/>'))
+    return reports.tag_references(read(spark, d, "documents").select(F.when(F.col("doc_id") % 3 == 0, F.concat(tag, F.lit(" x "), tag)).otherwise(tag).alias("value")))
 
 
 @query("SELECT '| ' || lang || ' | ' || count(*) || ' |' AS line FROM documents GROUP BY lang")
@@ -90,12 +87,20 @@ def markdown_report(spark: SparkSession, d: str) -> DataFrame:
     return reports.markdown(documents(spark, d).groupBy("lang").agg(F.count("*").alias("n")), ["lang", "n"])
 
 
-ROWS = [(x.code, x.digit_tag, x.punct_tag, x.name_tag, len(x.alphabet), len(x.clitics), len(x.links), x.strip_marks, x.confusion, x.neural) for x in config.LANGS.values()]
-NAMES = ("code", "digit_tag", "punct_tag", "name_tag", "letters", "clitics", "links", "strip_marks", "confusion", "neural")
+#: What the registry must hold, written out: digits, punctuation and name tags; letters, clitics and links; flags.
+REGISTRY = """SELECT * FROM (VALUES
+('en', 'CD', 'PCT', 'NNP', 26, 0, 0, false, true, true, 'resources/en/grammar'),
+('de', 'ZAN', 'PKT', 'EIG:NOM:SIN:MAS', 26, 0, 8, false, true, false, 'resources/de/grammar'),
+('ru', 'NumC:Nom', 'PNCT', 'NN:Name:Masc:Sin:Nom', 33, 0, 0, false, true, false, 'resources/ru/grammar'),
+('ar', 'CD', 'PCT', 'NA-;-1U-;---', 37, 0, 0, true, false, false, 'resources/ar/grammar'),
+('fr', 'Y', 'M', 'Z', 42, 15, 0, false, true, false, 'resources/fr/grammar'),
+('es', 'Z', '_PUNCT', 'NP00000', 33, 0, 0, false, true, false, 'resources/es/grammar'),
+('it', 'DET-NUM-CARD', 'PON', 'NPR', 36, 22, 0, false, false, false, 'resources/it/grammar')
+) t(code, digit_tag, punct_tag, name_tag, letters, clitics, links, strip_marks, confusion, neural, grammar_path)"""
 
 
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(quoted(v) if isinstance(v, str) else str(v).lower() for v in r) + ")" for r in ROWS) + f") t({', '.join(NAMES)})")
+@query(REGISTRY)
 def lang_config(spark: SparkSession, d: str) -> DataFrame:
     """FN-10 and the registry of languages"""
-    kinds = ("string", "string", "string", "string", "int", "int", "int", "boolean", "boolean", "boolean")
-    return spark.createDataFrame(ROWS, ", ".join(f"{n} {k}" for n, k in zip(NAMES, kinds, strict=True)))
+    rows = [(x.code, x.digit_tag, x.punct_tag, x.name_tag, len(x.alphabet), len(x.clitics), len(x.links), x.strip_marks, x.confusion, x.neural, config.artifact(x.code, "grammar")) for x in config.LANGS.values()]
+    return spark.createDataFrame(rows, "code string, digit_tag string, punct_tag string, name_tag string, letters int, clitics int, links int, strip_marks boolean, confusion boolean, neural boolean, grammar_path string")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosewright.operators import disambiguation, rules
+from prosewright import config
+from prosewright.operators import analysis, cascade, disambiguation, rules
 from prosewright.operators.rules import Group, Ref, Rule, Test, TextRule, Token
-from prosewright.plans.base import LEXICON, TAGGED, TOKENS, documents, tagged
+from prosewright.plans.base import LEXICON, TAGGED, TOKENS, corpus, documents, tagged
 
 QUERIES, SQL = {}, {}
-WITH = f"WITH {TOKENS}, {LEXICON}, {TAGGED}"
+WITH = f"WITH RECURSIVE {TOKENS}, {LEXICON}, {TAGGED}"
 #: Tokens with the five that follow, as t0 to t5, each a struct.
 AHEAD = ", w AS (SELECT doc_id, tok, tagged AS t0, " + ", ".join(f"lead(tagged, {i}) OVER o AS t{i}" for i in range(1, 6)) + " FROM tagged WINDOW o AS (PARTITION BY doc_id ORDER BY tok))"
 
@@ -78,6 +79,14 @@ register(
     "SELECT * FROM (" + select("t0.fold = 'the'", e="t0.e", suggestion="'a'", id="THE") + ") h WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.doc_id = h.doc_id AND t0.fold = 'of' AND t1.fold = 'the' AND w.tok < h.start + 1 AND h.start < w.tok + 2)",
     Rule("THE", lit("the"), (("a",),), antipatterns=(lit("of", "the"),)),
 )
+register(
+    "rule_sentence_start", select("list_contains(t0.tags, 'SENT_START') AND t1.fold = 'the' AND NOT t1.spaced", s="t1.s", e="t1.e", suggestion="'A'", id="START"),
+    Rule("START", (Token(Test(tag="SENT_START")), Token(Test("the"), spaced=False, marked=True)), (("A",),)),
+)
+register(
+    "rule_sentence_end", select("list_contains(t0.tags, 'NN') AND list_contains(t1.tags, 'SENT_END') AND t1.text = '.' AND list_contains(t2.tags, 'SENT_START')", s="t0.s", e="t1.e", suggestion="t0.text || '!'", id="END"),
+    Rule("END", (Token(Test(tag="NN"), marked=True), Token(Test(".", tag="SENT_END"), marked=True), Token(Test(tag="SENT_START"))), ((Ref(1), "!"),)),
+)
 register(
     "rule_skip_gap",
     "SELECT * FROM (" + " UNION ALL ".join(select(f"t0.fold = 'of' AND t{k}.fold = 'and'" + "".join(f" AND coalesce(t{j}.fold, '') <> 'and'" for j in range(1, k)), e=f"t{k}.e", suggestion=f"t0.text || ' & ' || t{k}.text", id="OF_AND") for k in (1, 2, 3, 4)) + ")",
@@ -101,7 +110,7 @@ def _dedup(spark: SparkSession, d: str) -> DataFrame:
     """PAT-2, WIN-7"""
     pack = [Rule("DUP", lit("the"), (("first",),)), Rule("DUP", (Token(Test("the|this", regexp=True)),), (("second",),)), Rule("DUP", (Token(Test("of")), Token(Test("this"), marked=True)), (("third",),))]
     got = rules.first_hits(rules.hits(tagged(spark, d), documents(spark, d), pack))
-    return got.select("doc_id", F.col("seq").alias("start"), "s", "e", F.col("code").alias("id"), "message", F.array_join("suggestions", "|").alias("suggestions"))
+    return got.select("doc_id", "start", "s", "e", F.col("code").alias("id"), "message", F.array_join("suggestions", "|").alias("suggestions"))
 
 
 QUERIES["rule_dedup_first"] = _dedup
@@ -114,23 +123,22 @@ register(
 
 def rule_regexp_text(spark: SparkSession, d: str) -> DataFrame:
     """PAT-7, PRJ-7: per document, how often a rule over the text hits and what it first proposes"""
-    got = rules.text_hits(documents(spark, d), [TextRule("OFTHE", r"\b(of) +(the)\b", ((Ref(2), " ", Ref(1)),), "Turn round.", mark=2)])
-    return got.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.struct("s", F.element_at("suggestions", 1).alias("x")))["x"].alias("first_fix"))
+    pack = [TextRule("OFTHE", r"\b(of) +(the)\b", ((Ref(2), " ", Ref(1)),), "Turn round \\1.", mark=2)]
+    got = rules.text_hits(documents(spark, d), list(enumerate(pack)))
+    return got.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.struct("s", F.element_at("suggestions", 1).alias("x")))["x"].alias("first_fix"), F.min("message").alias("message"))
 
 
 QUERIES["rule_regexp_text"] = rule_regexp_text
 SQL["rule_regexp_text"] = r"""WITH m AS (SELECT doc_id, regexp_extract_all(text, '(?i)\bof +the\b') AS ms FROM documents)
-SELECT doc_id, len(ms)::BIGINT AS n, regexp_replace(ms[1], '(?i)(of) +(the)', '\2 \1') AS first_fix FROM m WHERE len(ms) > 0"""
+SELECT doc_id, len(ms)::BIGINT AS n, regexp_replace(ms[1], '(?i)(of) +(the)', '\2 \1') AS first_fix, 'Turn round ' || list_min(list_transform(ms, lambda x: x[1:2])) || '.' AS message FROM m WHERE len(ms) > 0"""
 
 
 def noop_guard(spark: SparkSession, d: str) -> DataFrame:
     """PRJ-9"""
-    from prosewright.operators import cascade
-
     toks = tagged(spark, d).filter("fold in ('the', 'of', 'and')")
     made = F.when(F.col("fold") == "the", F.array(F.lit("the"), F.lit("a"))).when(F.col("fold") == "of", F.array(F.lit("of"))).otherwise(F.array().cast("array<string>"))
-    rows = toks.select("doc_id", "s", "e", "text", made.alias("suggestions"))
-    return cascade.without_noops(rows, F.col("text")).select("doc_id", "s", "e", F.array_join("suggestions", "|").alias("suggestions"))
+    rows = toks.select("doc_id", "s", "e", F.col("text").alias("surface"), made.alias("suggestions"))
+    return cascade.without_noops(rows).select("doc_id", "s", "e", F.array_join("suggestions", "|").alias("suggestions"))
 
 
 QUERIES["noop_guard"] = noop_guard
@@ -146,8 +154,8 @@ def tag_actions(toks: DataFrame) -> DataFrame:
 
 
 def disambig_actions(spark: SparkSession, d: str) -> DataFrame:
-    """DIS-3, DIS-4, DIS-5, DIS-6 as column functions on the tags of each document's first 50 tokens"""
-    return tag_actions(tagged(spark, d).filter("tok < 50"))
+    """DIS-3, DIS-4, DIS-5, DIS-6 as column functions on the tags of all tokens"""
+    return tag_actions(tagged(spark, d))
 
 
 QUERIES["disambig_actions"] = disambig_actions
@@ -155,16 +163,7 @@ SQL["disambig_actions"] = WITH + """ SELECT doc_id, tok,
 array_to_string(CASE WHEN list_has_any(tags, ['NN', 'VB']) THEN list_filter(tags, lambda x: x IN ('NN', 'VB')) ELSE list_concat(tags, ['NN', 'VB']) END, ' ') AS soft,
 array_to_string(list_concat(tags, list_filter(['NN', 'X'], lambda x: NOT list_contains(tags, x))), ' ') AS more,
 array_to_string(list_filter(tags, lambda x: NOT regexp_full_match(x, 'N.*')), ' ') AS less,
-array_to_string(list_filter(tags, lambda x: x IN ('NN', 'SENT_END')), ' ') AS only, array_to_string(tags, ' ') AS same FROM tagged WHERE tok < 50"""
-
-
-def disambig_actions_all(spark: SparkSession, d: str) -> DataFrame:
-    """DIS-3, DIS-4, DIS-5, DIS-6 on the tags of all tokens"""
-    return tag_actions(tagged(spark, d))
-
-
-QUERIES["disambig_actions_all"] = disambig_actions_all
-SQL["disambig_actions_all"] = SQL["disambig_actions"].removesuffix(" WHERE tok < 50")
+array_to_string(list_filter(tags, lambda x: x IN ('NN', 'SENT_END')), ' ') AS only, array_to_string(tags, ' ') AS same FROM tagged"""
 
 
 def disambig_sequence(spark: SparkSession, d: str) -> DataFrame:
@@ -173,8 +172,9 @@ def disambig_sequence(spark: SparkSession, d: str) -> DataFrame:
         disambiguation.TagRule("A", (Token(Test("the")), Token(Test(tag="UNKNOWN"), marked=True)), disambiguation.Action("replace", ("NN",))),
         disambiguation.TagRule("B", (Token(Test(tag="NN"), marked=True), Token(Test("of"))), disambiguation.Action("add", ("HEAD",))),
     ]
-    done = disambiguation.disambiguate(disambiguation.by_sentence(tagged(spark, d)), pack)
-    return done.select("doc_id", F.explode("toks").alias("t")).filter(F.array_contains("t.tags", "HEAD")).select("doc_id", "t.tok", F.array_join("t.tags", " ").alias("tags"))
+    c = corpus(spark, d)
+    done = analysis.analyze(c.docs, c.entries, tag_rules=pack, toks=c.toks)
+    return done.filter(F.array_contains("tags", "HEAD")).select("doc_id", "tok", F.array_join("tags", " ").alias("tags"))
 
 
 QUERIES["disambig_sequence"] = disambig_sequence
@@ -192,3 +192,39 @@ def rule_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES["rule_coverage"] = rule_coverage
 SQL["rule_coverage"] = "SELECT * FROM (VALUES ('OK', 1, ''), ('LOOK', 0, 'regex outside the dialect'), ('BACK', 0, 'regex outside the dialect'), ('NONE', 0, 'no suggestion to render'), ('REF', 0, 'no suggestion to render')) t(id, supported, reason)"
+
+
+def rule_merged_order(spark: SparkSession, d: str) -> DataFrame:
+    """PAT-2, PAT-7, SRT-2: rules over tokens and over the text in one pack; of equal span and code the token rule's hit
+    stays, and the order is by start, end and code"""
+    pack = [TextRule("OF", r"\bof\b", (("text",),)), TextRule("THE", r"\b(th)e\b", ((Ref(1), "is"),), mark=1), Rule("OF", lit("of"), (("token",),))]
+    got = cascade.ordered(rules.first_hits(rules.hits(tagged(spark, d), documents(spark, d), pack)))
+    return got.select("doc_id", "rank", "s", "e", "code", F.element_at("suggestions", 1).alias("suggestion"))
+
+
+QUERIES["rule_merged_order"] = rule_merged_order
+SQL["rule_merged_order"] = WITH + """, p AS (SELECT doc_id, regexp_extract_all(text, '(?i)\\bof\\b|\\bthe\\b|\\b') AS ignored FROM documents WHERE false),
+a AS (SELECT doc_id, s, e, 'OF' AS code, 'token' AS suggestion FROM tagged WHERE fold = 'of'),
+pc AS (SELECT doc_id, unnest(regexp_split_to_array(text, '(?i)\\b(?:of|the)\\b')) AS piece, generate_subscripts(regexp_split_to_array(text, '(?i)\\b(?:of|the)\\b'), 1) AS i FROM documents),
+mt AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\\b(?:of|the)\\b')) AS m, generate_subscripts(regexp_extract_all(text, '(?i)\\b(?:of|the)\\b'), 1) AS i FROM documents),
+po AS (SELECT mt.doc_id, m, (sum(strlen(piece) + strlen(m)) OVER (PARTITION BY mt.doc_id ORDER BY mt.i) - strlen(m))::BIGINT AS s FROM mt JOIN pc ON pc.doc_id = mt.doc_id AND pc.i = mt.i),
+t AS (SELECT doc_id, s, s + 2 AS e, CASE WHEN lower(m) = 'of' THEN 'OF' ELSE 'THE' END AS code, CASE WHEN lower(m) = 'of' THEN 'text' ELSE m[1:2] || 'is' END AS suggestion FROM po),
+u AS (SELECT * FROM a UNION ALL SELECT * FROM t WHERE (doc_id, s, e, code) NOT IN (SELECT (doc_id, s, e, code) FROM a))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s, e, code) AS rank, s, e, code, suggestion FROM u""".replace("p AS (SELECT doc_id, regexp_extract_all(text, '(?i)\\bof\\b|\\bthe\\b|\\b') AS ignored FROM documents WHERE false),\n", "")
+
+
+def large_pack() -> list[Rule]:
+    """5,000 rules: a general one for each two first letters of words in -ing, and literal ones for words of three letters."""
+    general = [Rule(f"ING_{a}{b}", (Token(Test(f"{a}{b}.*ing", regexp=True)),), ((Ref(1, "upper"),),)) for a in config.LATIN for b in config.LATIN]
+    words = [a + b + c for a in config.LATIN for b in config.LATIN for c in config.LATIN]
+    return general + [Rule(f"W_{w}", (Token(Test(w)), Token(Test(tag="SENT_END"))), (("x",),)) for w in words[-(5000 - len(general)) :]]
+
+
+def rule_large_pack(spark: SparkSession, d: str) -> DataFrame:
+    """JON-4, PAT-3: a pack of the size of a real one"""
+    return found(spark, d, *large_pack()).select("doc_id", "start", "id", "suggestions")
+
+
+QUERIES["rule_large_pack"] = rule_large_pack
+SQL["rule_large_pack"] = WITH + AHEAD + r""" SELECT doc_id, tok AS start, 'ING_' || t0.fold[1:2] AS id, upper(t0.text) AS suggestions FROM w WHERE regexp_full_match(t0.text, '(?i)[a-z]{2}.*ing')
+UNION ALL SELECT doc_id, tok, 'W_' || t0.fold, 'x' FROM w WHERE regexp_full_match(t0.fold, '[a-z]{3}') AND t0.fold >= '""" + large_pack()[676].id[2:] + """' AND list_contains(t1.tags, 'SENT_END')"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -152,19 +153,16 @@ def triples(data: bytes, meta: dict[str, str]) -> Iterator[tuple[str, str, str]]
                 yield tuple(got)  # type: ignore[misc]
 
 
-def lexicon(spark: SparkSession, path: str, meta: dict[str, str]) -> DataFrame:
-    """(path, surface, lemma, tag) of the dictionaries under a path; each file is one task's work."""
+def lexicon(spark: SparkSession, path: str, meta: dict[str, str], lang: str) -> DataFrame:
+    """(lang, surface, ord, lemma, tag) of the dictionaries under a path, ord being an entry's place in its file; each
+    file is one task's work."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows = []
-                for t in triples(data, meta):
-                    rows.append((name, *t))
-                    if len(rows) == 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["path", "surface", "lemma", "tag"])
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["path", "surface", "lemma", "tag"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, surface string, lemma string, tag string")
+            for data in batch.column("content").to_pylist():
+                numbered = enumerate(triples(data, meta))
+                while rows := [(lang, s, k, lemma, tag) for k, (s, lemma, tag) in islice(numbered, 10_000)]:
+                    kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["lang", "surface", "ord", "lemma", "tag"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "lang string, surface string, ord int, lemma string, tag string")

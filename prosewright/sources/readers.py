@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of whole files (SRC-1)."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 
 def confusion_sets(lines: DataFrame) -> DataFrame:

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
+
+from prosewright import scratch
+from prosewright.engine import Checker
+from prosewright.operators import cascade
 
 
 def latest(rows: DataFrame, key: str, revision: str) -> DataFrame:
@@ -38,6 +45,63 @@ def run_once(stream: DataFrame, sink: str, mode: str, checkpoint: str):
     return stream.sparkSession.table(sink)
 
 
-def ranked_revisions(rows: DataFrame, key: str, revision: str) -> DataFrame:
-    """rows with rn = 1 for the newest revision, where all columns must stay in place."""
-    return rows.withColumn("rn", F.row_number().over(W.partitionBy(key).orderBy(F.desc(revision))))
+REVISION = "doc_id bigint, lang string, revision bigint, req_id string, text string"
+
+
+def revisions(spark: SparkSession, path: str) -> DataFrame:
+    """Edited texts as they come, as JSON lines of REVISION (SRC-2); req_id names the request (STR-3)."""
+    return spark.readStream.schema(REVISION).json(path)
+
+
+def latest_stream(stream: DataFrame) -> DataFrame:
+    """Of each batch the newest revision of each document, unless an earlier batch had one as new (STR-2). The state of a
+    document is one number."""
+    schema = stream.schema
+
+    def newest(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen = state.get[0] if state.exists else None
+        best = None
+        for part in parts:
+            row = part.loc[[part["revision"].idxmax()]]
+            if best is None or row["revision"].iloc[0] > best["revision"].iloc[0]:
+                best = row
+        if best is not None and (seen is None or best["revision"].iloc[0] > seen):
+            state.update((int(best["revision"].iloc[0]),))
+            yield best
+
+    return stream.groupBy("doc_id").applyInPandasWithState(newest, schema, "revision bigint", "append", "NoTimeout")
+
+
+def check_stream(stream: DataFrame, checker_of: Callable[[str], Checker], sink: str, checkpoint: str):
+    """Starts the check of a stream of REVISION: every batch is analysed once and its layers are written one after the
+    other, in the order of the checker, so that the first ones can be shown early (STR-4). Rows of the sink name request,
+    revision, layer and batch (STR-3); a batch that runs again overwrites what it wrote. checker_of gives the checker of
+    a language, from a bounded pool (STR-5)."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        rows = latest(batch, "doc_id", "revision").select("doc_id", "lang", "revision", "req_id", "text")
+        rows = scratch.table(rows, "batch")
+        for lang in sorted(r.lang for r in rows.select("lang").distinct().collect()):
+            own = rows.filter(F.col("lang") == lang)
+            checker = checker_of(lang)
+            tokens = checker.analyzed(own)
+            for k, layer in enumerate(checker.layers):
+                found = cascade.check([layer.diagnose(tokens, own)]).join(own.select("doc_id", "revision", "req_id"), "doc_id")
+                found.write.mode("overwrite").parquet(f"{sink}/batch={number}/lang={lang}/layer={k}_{layer.source}")
+
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+
+
+def sweep(work: DataFrame, key: str, record: str, run: Callable[[DataFrame], DataFrame], size: int = 1000) -> int:
+    """Works through keys in order, size at a time, and appends what run gives to the table record after each part; keys
+    that record has are skipped, so a sweep that was stopped goes on where it was (STR-6). Gives the number of parts."""
+    spark, parts = work.sparkSession, 0
+    where = spark._jvm.org.apache.hadoop.fs.Path(record)
+    has = lambda: where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    while True:
+        left = pending(work, spark.read.parquet(record), key) if has() else work
+        part = scratch.table(left.orderBy(key).limit(size), "part")
+        if part.isEmpty():
+            return parts
+        run(part).write.mode("append").parquet(record)
+        parts += 1

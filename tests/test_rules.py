@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,9 +10,9 @@ from pyspark.sql import functions as F
 from prosewright.functions import text as fn
 from prosewright.operators import cascade, compounds, disambiguation, neural, rules
 from prosewright.operators.rules import Group, Ref, Rule, Test, Token
-from prosewright.sources import readers
+from prosewright.sources import artifacts, readers
 
-TOKS = "doc_id bigint, tok bigint, text string, fold string, tags array<string>, lemmas array<string>, spaced boolean, s bigint, e bigint"
+TOKS = "doc_id bigint, tok bigint, text string, fold string, tags array<string>, lemmas array<string>, spaced boolean, s bigint, e bigint, gap string"
 
 
 def token(text, tags=(), lemmas=(), spaced=True, s=0):
@@ -64,14 +65,16 @@ def test_columns_equal_the_matcher(spark):
     docs, rows = [], []
     for d in range(12):
         text, toks, at = "", [], 0
+        gaps = []
         for k in range(rng.randint(0, 12)):
-            w, gap = rng.choice(vocab), rng.choice(["", " "])
+            w, gap = rng.choice(vocab), rng.choice(["", " ", "\n "])
             text += gap + w
+            gaps.append(gap)
             at += len(gap)
             toks.append(token(w, rng.sample(tags, rng.randint(0, 2)), ["run"] if w.startswith("run") else [], bool(gap) or k == 0, at))
             at += len(w)
         docs.append((d, text, toks))
-        rows += [(d, k, t["text"], rules.fold(t["text"]), t["tags"], t["lemmas"], t["spaced"], t["s"], t["e"]) for k, t in enumerate(toks)]
+        rows += [(d, k, t["text"], rules.fold(t["text"]), t["tags"], t["lemmas"], t["spaced"], t["s"], t["e"], gaps[k]) for k, t in enumerate(toks)]
 
     def test():
         kind = rng.randint(0, 4)
@@ -83,11 +86,23 @@ def test_columns_equal_the_matcher(spark):
             return Group(rng.choice(["or", "and"]), (Token(test()), Token(test())))
         return Token(test(), exceptions=(test(),) if rng.random() < 0.3 else (), spaced=rng.choice([None, None, True, False]), marked=rng.random() < 0.3)
 
-    pack = [Rule(f"R{k}", tuple(element() for _ in range(rng.randint(1, 3))), ((Ref(1, "upper"), "-"), ("x",)), r"m \1 \9", tuple(tuple(element() for _ in range(rng.randint(1, 2))) for _ in range(rng.randint(0, 1)))) for k in range(25)]
+    def loose(k):
+        e = element()
+        if isinstance(e, Group) or rng.random() < 0.5:
+            return e
+        least = rng.randint(1 if k == 0 else 0, 1)
+        return replace(e, min=least, max=rng.randint(max(least, 1), 2), skip=rng.choice([None, 1, 2]))
+
+    anti = lambda: tuple(tuple(element() for _ in range(rng.randint(1, 2))) for _ in range(rng.randint(0, 1)))
+    fixes = ((Ref(1, "upper"), "-"), (Ref(2),), ("x",))
+    pack = [Rule(f"R{k}", tuple(element() for _ in range(rng.randint(1, 3))), fixes, r"m \1 \9", anti()) for k in range(25)]
+    pack += [Rule(f"L{k}", tuple(loose(j) for j in range(rng.randint(1, 3))), fixes, r"m \1 \2", anti()) for k in range(15)]
+    pack = [r for r, _ in rules.prepare(pack)]
     numbered = list(enumerate(pack))
-    cols = ["doc_id", "start", "stop", "rule", "s", "e", "message", "suggestions"]
+    assert all(rules.in_columns(r) for r in pack)
+    cols = ["doc_id", "start", "stop", "rule", "s", "e", "message", "suggestions", "surface"]
     got = rules.hits_by_columns(spark.createDataFrame(rows, TOKS), numbered).select(cols).collect()
-    want = [(d, h["start"], h["stop"], h["rule"], h["s"], h["e"], h["message"], h["suggestions"]) for d, text, toks in docs for h in rules.match_document(numbered, toks, text)]
+    want = [(d, h["start"], h["stop"], h["rule"], h["s"], h["e"], h["message"], h["suggestions"], h["surface"]) for d, text, toks in docs for h in rules.match_document(rules.Index(numbered), toks, text)]
     assert sorted(map(tuple, got)) == sorted(want) and want
 
 
@@ -98,8 +113,8 @@ def test_dialect():
 
 def test_antipatterns_and_markers():
     rule = Rule("T", (Token(Test("lead")), Token(Test("role"), marked=True)), ((Ref(2, "start_upper"),),), antipatterns=(plain("the", "lead"),))
-    assert rules.match_document([(0, rule)], line("lead", "role"), "lead role")[0]["suggestions"] == ["Role"]
-    assert rules.match_document([(0, rule)], line("the", "lead", "role"), "the lead role") == []
+    assert rules.match_document(rules.Index([(0, rule)]), line("lead", "role"), "lead role")[0]["suggestions"] == ["Role"]
+    assert rules.match_document(rules.Index([(0, rule)]), line("the", "lead", "role"), "the lead role") == []
 
 
 def test_disambiguation_actions():
@@ -121,8 +136,10 @@ def test_compounds():
 
 
 def test_neural_edits_and_differences():
-    assert neural.edit_word("box", "$TRANSFORM_AGREEMENT_PLURAL") == ["boxes"] and neural.edit_word("a-b", "$TRANSFORM_SPLIT_HYPHEN") == ["a", "b"]
+    assert neural.edit_word("box", "$TRANSFORM_AGREEMENT_PLURAL") == ["boxs"] and neural.edit_word("a-b", "$TRANSFORM_SPLIT_HYPHEN") == ["a", "b"]
     assert neural.edit_word("go", "$TRANSFORM_VERB_VB_VBZ", {("go", "VB_VBZ"): "goes"}) == ["goes"] and neural.edit_word("go", "$MERGE_SPACE") == ["go"]
+    assert neural.edit_word("buses", "$TRANSFORM_AGREEMENT_SINGULAR") == ["buse"] and neural.edit_word("bOX", "$TRANSFORM_CASE_CAPITAL") == ["Box"] and neural.edit_word("abC", "$TRANSFORM_CASE_CAPITAL_1") == ["aBc"]
+    assert neural.edit_word("a", "$APPEND_b c") == ["a", "b", "c"] and neural.edit_word("a", "$REPLACE_b c") == ["b", "c"]
     spans = [(0, 1), (2, 3), (4, 5)]
     assert neural.differences(spans, list("abc"), list("axc")) == [(2, 3, "x")]
     assert neural.differences(spans, list("abc"), list("ac")) == [(2, 3, "")]
@@ -141,10 +158,25 @@ def test_span_functions(spark):
 
 
 def test_noops_and_order(spark):
-    rows = [(1, 0, 1, "A", "", ["a"], "Grammar", 0), (1, 0, 1, "B", "", ["a", "b"], "Spelling", 0), (1, 0, 1, "C", "", [], "Neural", 0)]
-    df = spark.createDataFrame(rows, "doc_id int, s int, e int, code string, message string, suggestions array<string>, source string, seq int")
-    got = cascade.ordered(cascade.without_noops(df, F.lit("a"))).orderBy("rank").collect()
-    assert [(r.code, r.suggestions) for r in got] == [("B", ["b"]), ("C", [])]
+    rows = [(1, 0, 1, "A", "", ["a"], "Grammar", "a"), (1, 0, 1, "B", "", ["a", "b"], "Spelling", "a"), (1, 0, 1, "C", "", [], "Neural", "a"), (1, 0, 3, "Y", "", ["q"], "Grammar", "a c"), (1, 0, 2, "Z", "", ["q"], "Grammar", "a "), (1, 0, 2, "X", "", ["q"], "Grammar", "a ")]
+    df = spark.createDataFrame(rows, "doc_id int, s int, e int, code string, message string, suggestions array<string>, source string, surface string")
+    got = cascade.ordered(cascade.without_noops(df)).orderBy("rank").collect()
+    assert [(r.code, r.suggestions) for r in got] == [("B", ["b"]), ("X", ["q"]), ("Z", ["q"]), ("Y", ["q"]), ("C", [])]
+
+
+def test_text_rules_render_groups_and_come_last(spark):
+    docs = spark.createDataFrame([(1, "é Foo foobar x")], "doc_id bigint, text string")
+    pack = [rules.TextRule("T", r"(foo)(bar)?", ((Ref(1, "upper", "o", "0"), "-", Ref(2)), (Ref(1),)), r"\1 and \2 \9", mark=2), rules.TextRule("BAD", r"(?=x)", (("x",),))]
+    got = rules.text_hits(docs, list(enumerate(pack))).orderBy("s").collect()
+    assert [(r.s, r.e, r.message, r.suggestions, r.surface) for r in got] == [(3, 6, "Foo and \\2 \\9", ["Foo"], "Foo"), (10, 13, "foo and bar \\9", ["F00-bar", "foo"], "bar")]
+
+
+def test_rule_tables_hold_rules(spark, tmp_path):
+    pack = [Rule("A", (Token(Test("a"), min=0, skip=2, exceptions=(Test("b", regexp=True),)), Group("or", plain("x", "y"), marked=True)), ((Ref(1, "upper", "a", "b"), "c"),), "m", (plain("z"),)), rules.TextRule("T", "x", (("y",),), mark=1), disambiguation.TagRule("D", plain("q"), disambiguation.Action("add", ("NN",)))]
+    artifacts.write_rules(spark, pack, f"{tmp_path}/rules")
+    assert artifacts.read_rules(spark, f"{tmp_path}/rules") == pack
+    report = artifacts.conversion_report(spark, [pack[0], Rule("N", plain("a"), ())], [("O", "no way")]).first()
+    assert (report.total, report.opaque, report.reasons) == (3, 2, {"no suggestion to render": 1, "no way": 1})
 
 
 def test_m2():

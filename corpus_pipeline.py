@@ -1,4 +1,13 @@
-"""From raw documents to an encoded training mix: the stages in order, each written and reread as the next one's input."""
+"""From raw documents to an encoded training mix: the stages in order, each written and reread as the next one's input.
+
+The quality classifier drops documents that it rejects, exact dedup all but one row of equal texts (A-Z folded), near
+dedup all but one text of each group of linked ones, and mixing reads sources anew up to a limit, every document at least
+once. All of them keep the columns of their input, whatever their names; the last gives doc_id, n_tokens, hashes and ids.
+
+Defined results: null and empty texts are scored like any other and count as equal texts, so one of them stays if the
+classifier keeps any; they link with nothing, weigh one token and encode to no ids. A null doc_id or source is a value
+like any other. Rows that repeat one doc_id and text are one text. Empty tables give empty results.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,8 +37,8 @@ def _encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", _quality), ("exact dedup", _exact), ("near dedup", _near), ("mixing", _mix), ("bpe encoding", _encode)]
 
-#: SQL cannot express the stages that learn or draw. tests/llm compares the ids that exact dedup keeps with plain Python;
-#: of the other stages it checks counts, and their operators by tests of their own.
+#: SQL cannot express the stages that learn or draw. tests/llm compares what the first three stages keep with plain Python
+#: on the smallest tables, the mix with plain loops, and the ids with the tokenizers library.
 ORACLE_SQL = None
 
 

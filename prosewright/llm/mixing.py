@@ -108,10 +108,11 @@ def doc_order(turn: Column) -> Column:
     return F.xxhash64("g_hash", turn)
 
 
-def mix_documents(docs: DataFrame, entropy: float | None = ENTROPY, repeats: float | None = None, budget: int | None = None, seed: int = SEED) -> DataFrame:
-    """docs with mix_pass and mix_order: a row for each time that a document is read. Order is by (pass, order)."""
+def mix_documents(docs: DataFrame, entropy: float | None = ENTROPY, repeats: float | None = None, budget: int | None = None, seed: int = SEED, marks: bool = True) -> DataFrame:
+    """docs with mix_pass and mix_order: a row for each time that a document is read. Order is by (pass, order). Without
+    marks the columns are those of docs alone."""
     scratch = Scratch(docs.sparkSession, "mix")
-    docs = docs.drop("mix_pass", "mix_order")
+    docs = docs.drop("mix_pass", "mix_order") if marks else docs
     where = placed(F.col("source"), F.col("doc_id"), F.col("text"), seed)
     light = docs.select(*(v.alias(k) for k, v in where.items()), n_words(F.col("text")).alias("g_tokens"))
     light = light.groupBy("g_source", "g_hash").agg(F.sum("g_tokens").alias("g_tokens"), F.count("*").alias("g_docs"))
@@ -123,7 +124,7 @@ def mix_documents(docs: DataFrame, entropy: float | None = ENTROPY, repeats: flo
     here = F.struct(block_order(F.col("whole"), F.col("block"), seed).alias("b"), doc_order(F.col("whole")).alias("d"))
     met = met.withColumn("pass", F.explode(F.concat(last, F.when(here <= F.col("end"), F.array("whole")).otherwise(F.array().cast("array<int>")))))
     order = F.struct(block_order(F.col("pass"), F.col("block"), seed).alias("block"), doc_order(F.col("pass")).alias("hash"))
-    return unboxed(met, F.col("pass").alias("mix_pass"), order.alias("mix_order"))
+    return unboxed(met, F.col("pass").alias("mix_pass"), order.alias("mix_order")) if marks else unboxed(met)
 
 
 def plan_reads(light: DataFrame, scratch: Scratch, entropy: float | None, repeats: float | None, budget: int | None, seed: int) -> tuple[DataFrame, int]:
@@ -161,7 +162,7 @@ def last_in_room(rows: DataFrame, key: str, scratch: Scratch) -> DataFrame:
 
 def kept_documents(docs: DataFrame, repeats: float = REPEATS) -> DataFrame:
     """The mix as rows of docs' columns: every document once at least, those of small sources up to repeats times."""
-    return mix_documents(docs, entropy=None, repeats=repeats).select(*docs.columns)
+    return mix_documents(docs, entropy=None, repeats=repeats, marks=False)
 
 
 def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

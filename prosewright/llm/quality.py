@@ -23,10 +23,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosewright.llm.common import documents, lean, small_batches
+from prosewright.llm.common import boxed, documents, lean, small_batches, unboxed
 
 SAMPLE, PASSAGE, HIDDEN, GATE, GRAMS = 3000, 1024, 32, 16, 512
 INPUTS = 256 + 6
@@ -64,6 +65,7 @@ def encoded(*raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     singles = np.bincount(owner * 256 + data, minlength=n * 256).reshape(n, 256).astype(np.float32)
     out = np.zeros((n, INPUTS), np.float32)
     out[:, :256] = np.sqrt(singles / total[:, None])
+    out[:, 256] = np.log(1e-3)  # of passages under four bytes, whatever else is encoded with them
     if len(data) >= 4:
         word = data.astype(np.uint32)
         four = word[:-3] | word[1:-2] << 8 | word[2:-1] << 16 | word[3:] << 24
@@ -253,9 +255,11 @@ def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(score_texts(model, batch.column("text").to_pylist())[0] >= 0.5))
+            texts = pc.struct_field(batch.column("g_box"), [place])
+            yield batch.filter(pa.array(score_texts(model, texts.to_pylist())[0] >= 0.5))
 
-    return docs.mapInArrow(lean(run), docs.schema)
+    rows, place = boxed(docs), docs.columns.index("text")
+    return unboxed(rows.mapInArrow(lean(run), rows.schema))
 
 
 def op2_quality_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:

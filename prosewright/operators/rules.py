@@ -398,28 +398,48 @@ def hit_at(number: int, rule: Rule, toks: list[dict], raw: bytes, start: int, se
     return {"start": start, "stop": end, "rule": number, "literal": 0 if first_literal(rule) is None else 1, "id": rule.id, "s": toks[a]["s"], "e": toks[b - 1]["e"], "message": message, "suggestions": out, "surface": raw[toks[a]["s"] : toks[b - 1]["e"]].decode("utf-8", "replace")}
 
 
+def by_text(e: Token | Group) -> bool:
+    """Whether an element asks for nothing but a token's text."""
+    return all(t.tag is None and not t.inflected for t in tests_of(e)) and all(t.spaced is None for t in (e.tokens if isinstance(e, Group) else (e,)))
+
+
 class Index:
     """Which rules can begin at a token (PAT-3): those with its word as first literal and, of the others, those whose
-    first element accepts it. The latter depend on the token's text, tags, lemmas and spacing alone, and are kept for
-    the tokens met last."""
+    first element accepts it. That depends on the token's text alone or on its text, tags, lemmas and spacing; what was
+    found is kept for the texts, and the kinds of tokens, met last."""
 
     def __init__(self, rules: list[tuple[int, Rule]]):
         self.by_word: dict[str, list[tuple[int, Rule]]] = {}
-        self.general = []
+        self.texts, self.kinds = [], []
         for number, rule in rules:
             word = first_literal(rule)
-            (self.general if word is None else self.by_word.setdefault(word, [])).append((number, rule))
-        self.kept: dict[tuple, list[tuple[int, Rule]]] = {}
+            first = rule.pattern[0]
+            (self.by_word.setdefault(word, []) if word is not None else self.texts if first.bounds[0] and by_text(first) else self.kinds).append((number, rule))
+        self.kept: dict[object, list[tuple[int, Rule]]] = {}
+        # most first elements are one regex over the text: those are tried without the detour of a test
+        plain = lambda e: isinstance(e, Token) and not e.exceptions and e.test.regexp and e.test.text is not None and not e.test.negate
+        self.plain = [(_regex(r.pattern[0].test.text, not r.pattern[0].test.case_sensitive).fullmatch, (n, r)) for n, r in self.texts if plain(r.pattern[0])]
+        self.texts = [(n, r) for n, r in self.texts if not plain(r.pattern[0])]
+
+    def found(self, key: object, rules: list[tuple[int, Rule]], tok: dict) -> list[tuple[int, Rule]]:
+        got = self.kept.get(key)
+        if got is None:
+            got = [(n, r) for n, r in rules if not r.pattern[0].bounds[0] or element_token(r.pattern[0], tok)]
+            if len(self.kept) >= 100_000:
+                self.kept.clear()
+            self.kept[key] = got
+        return got
 
     def rules_at(self, tok: dict) -> list[tuple[int, Rule]]:
-        kind = (tok["text"], tuple(tok["tags"]), tuple(tok["lemmas"]), tok["spaced"])
-        found = self.kept.get(kind)
-        if found is None:
-            found = [(n, r) for n, r in self.general if not r.pattern[0].bounds[0] or element_token(r.pattern[0], tok)] + self.by_word.get(fold(tok["text"]), [])
-            if len(self.kept) >= 50_000:
-                self.kept.clear()
-            self.kept[kind] = found
-        return found
+        text = tok["text"]
+        general = self.kept.get(text)
+        if general is None:
+            general = self.found(text, self.texts, tok)
+            general += [x for match, x in self.plain if match(text)]
+            general.sort(key=lambda x: x[0])
+        if self.kinds:
+            general = sorted(general + self.found((tok["text"], tuple(tok["tags"]), tuple(tok["lemmas"]), tok["spaced"]), self.kinds, tok), key=lambda x: x[0])
+        return general + self.by_word.get(fold(tok["text"]), [])
 
 
 def match_document(index: Index, toks: list[dict], text: str) -> list[dict]:

@@ -28,9 +28,9 @@ def strip_ansi(x: Column) -> Column:
 
 
 def number_after(x: Column, label: str) -> Column:
-    """The first whole number behind a label, or null (FN-9)."""
+    """The first whole number behind a label, or null (FN-9); null too where it is beyond 64 bits."""
     found = F.regexp_extract(x, rf"(?s)\A(?>.*?{label})[^0-9]*+([0-9]+)", 1)  # from the first label on: linear in long texts
-    return F.when(found != "", found.cast("bigint"))
+    return F.when(found != "", found.try_cast("bigint"))
 
 
 def top(rows: DataFrame, by: str, n: int) -> DataFrame:

@@ -3,9 +3,11 @@
 import random
 import unicodedata
 
+from pyspark.sql import functions as F
+
 import __spark_entry__
 from prosewright import config
-from prosewright.operators import analysis, compounds, confusion, evaluation, spelling
+from prosewright.operators import analysis, compounds, confusion, evaluation, reports, spelling
 from prosewright.plans.base import corpus
 
 SF = "/root/testdata/sf0.001"
@@ -42,6 +44,13 @@ def test_text_helpers_cover_all_documents(spark):
     assert got.count() == docs.count() and got.agg({"plain": "max"}).first()[0] > 400
 
 
+def test_number_after_beyond_64_bits(spark):
+    texts = {1: "the 9223372036854775808", 2: "the 9223372036854775807", 3: "of the x " + "9" * 400, 4: "the", 5: None}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: r.n for r in rows.select("doc_id", reports.number_after(F.col("text"), "the").alias("n")).collect()}
+    assert got == {1: None, 2: 9223372036854775807, 3: None, 4: None, 5: None}
+
+
 def plain_tokens(text):
     """The tokens of a text, character by character."""
     out, word, s = [], "", 0

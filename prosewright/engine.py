@@ -63,11 +63,20 @@ class Spelling:
 
 @dataclass(frozen=True)
 class Grammar:
+    """With native, tokens are those of NativeEngine with breaks, so rules that ask for no tags run in the texts."""
+
     pack: list
     source: str = "Grammar"
+    native: bool = False
+    breaks: dict | None = None
 
-    def diagnose(self, tokens: DataFrame, docs: DataFrame) -> DataFrame:
-        return rules.first_hits(rules.hits(tokens, docs, self.pack))
+    @property
+    def in_texts(self) -> bool:
+        """Whether no rule needs the analysis."""
+        return self.native and all(isinstance(r, rules.TextRule) or rules.of_text(r) for r in self.pack)
+
+    def diagnose(self, tokens: DataFrame | None, docs: DataFrame) -> DataFrame:
+        return rules.first_hits(rules.hits_over(docs, self.pack, lambda: tokens, self.breaks) if self.native else rules.hits(tokens, docs, self.pack))
 
 
 @dataclass(frozen=True)
@@ -107,11 +116,16 @@ class Checker:
         """The analysis, written once for all layers."""
         return scratch.table(self.engine.analyze(docs), "analysis")
 
+    def diagnosed(self, docs: DataFrame) -> list[DataFrame]:
+        """The diagnostics of each layer; the analysis is made if one of them needs it."""
+        tokens = None if all(getattr(x, "in_texts", False) for x in self.layers) else self.analyzed(docs)
+        return [x.diagnose(tokens, docs) for x in self.layers]
+
     def check(self, docs: DataFrame) -> DataFrame:
-        tokens = self.analyzed(docs)
         if not self.layers:
+            tokens = self.analyzed(docs)
             return cascade.check([tokens.limit(0).select(*(F.lit(None).cast(t).alias(c) for c, t in (("doc_id", dict(docs.dtypes)["doc_id"]), ("s", "bigint"), ("e", "bigint"), ("code", "string"), ("message", "string"), ("suggestions", "array<string>"), ("source", "string"), ("surface", "string"))))])
-        return cascade.check([x.diagnose(tokens, docs) for x in self.layers])
+        return cascade.check(self.diagnosed(docs))
 
 
 def build(spark: SparkSession, folder: str, layers: tuple[str, ...] = ("spelling", "grammar", "confusion"), predict: neural.Predictor | None = None, breaks: dict | None = None) -> Checker:
@@ -123,7 +137,7 @@ def build(spark: SparkSession, folder: str, layers: tuple[str, ...] = ("spelling
     engine = NativeEngine(entries, breaks, artifacts.read_rules(spark, f"{folder}/tag_rules") if has_tags else [])
     make: dict[str, Callable[[], GrammarChecker]] = {
         "spelling": lambda: Spelling(entries),
-        "grammar": lambda: Grammar(artifacts.read_rules(spark, f"{folder}/rules")),
+        "grammar": lambda: Grammar(artifacts.read_rules(spark, f"{folder}/rules"), native=True, breaks=breaks),
         "confusion": lambda: Confusion(artifacts.read_model(spark, f"{folder}/model")),
         "neural": lambda: Neural(predict),
     }

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prosewright.functions import text as fn
-from prosewright.operators import cascade, compounds, disambiguation, neural, rules
+from prosewright.operators import analysis, cascade, compounds, disambiguation, neural, rules
 from prosewright.operators.rules import Group, Ref, Rule, Test, Token
 from prosewright.sources import artifacts, readers
 
@@ -106,6 +106,28 @@ def test_columns_equal_the_matcher(spark):
     assert sorted(map(tuple, got)) == sorted(want) and want
 
 
+def test_hits_in_texts_equal_the_matcher(spark):
+    rng = random.Random(5)
+    words = ["the", "The", "of", "run", "é𝒳", ",", ".", "x."]
+    texts = {d: "".join(rng.choice(["", " ", " ", "\n "]) + rng.choice(words) for _ in range(rng.randint(0, 30))) for d in range(40)} | {40: None, 41: "  the the"}
+
+    def element():
+        one = lambda: Token(Test(*rng.choice([("the", False), ("of", False), ("r.n|,", True), (None, False)]), negate=rng.random() < 0.2), spaced=rng.choice([None, None, True, False]), marked=rng.random() < 0.3)
+        return Group(rng.choice(["or", "and"]), (one(), one())) if rng.random() < 0.2 else one() if rng.random() < 0.6 else replace(one(), min=rng.randint(0, 1), max=rng.choice([1, 2, -1]), skip=rng.choice([None, 2]))
+
+    pack = [Rule(f"R{k}", tuple(element() for _ in range(rng.randint(1, 3))), ((Ref(1, "upper"), "-"), ("x",)), r"m \1 \2", tuple((element(),) for _ in range(rng.randint(0, 1)))) for k in range(60)]
+    numbered = list(enumerate(pack))
+    docs = spark.createDataFrame([(d, "en", t) for d, t in texts.items()], "doc_id bigint, lang string, text string")
+    toks = {d: [] for d in texts}
+    for r in analysis.full_tokens(docs).orderBy("doc_id", "tok").collect():
+        toks[r.doc_id].append(token(r.text, spaced=r.spaced) | {"s": r.s, "e": r.e, "sent": r.sent})
+    keys = ("start", "stop", "rule", "literal", "s", "e", "message", "suggestions", "surface")
+    want = [(d, *(h[k] for k in keys), next(t["sent"] for t in toks[d] if t["s"] == h["s"])) for d, t in texts.items() for h in rules.match_document(rules.Index(numbered), toks[d], t or "")]
+    df = rules.hits_over(docs, pack, lambda: None)
+    assert "Exchange" not in df._jdf.queryExecution().toString()
+    assert sorted(map(tuple, df.select("doc_id", *keys, "sent").collect())) == sorted(want) and len(want) > 500
+
+
 def test_dialect():
     assert all(map(rules.accepted, ["a+b?", r"\d{2,3}", "[(?=]", r"\\1", r"\p{L}+"]))
     assert not any(map(rules.accepted, ["a(?=b)", "(?<!a)b", r"(a)\1", "a++", "(?>a)", "(", "a{2}+"]))

@@ -3,6 +3,7 @@
 import random
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -44,6 +45,19 @@ def test_text_helpers_cover_all_documents(spark):
     assert got.count() == docs.count() and got.agg({"plain": "max"}).first()[0] > 400
 
 
+@pytest.mark.parametrize("name", ["fix_all", "noop_rules", "printed_lines", "diagnostics_json", "rule_firing_rate", "rule_tables"])
+def test_rules_without_tags_need_no_tokens(spark, name, monkeypatch):
+    """Rows of all tokens were written and shuffled for rules that look at texts alone."""
+    monkeypatch.setattr(analysis, "full_tokens", lambda *_: pytest.fail("tokens of all documents"))
+    assert whole(spark, name).count() > 0
+
+
+def test_word_counts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {(r.lang, r.text): r["count"] for r in analysis.full_tokens(docs).filter("not sentinel").groupBy("lang", "text").count().collect()}
+    assert {(r.lang, r.text): r.n for r in analysis.word_counts(docs).collect()} == want
+
+
 def test_number_after_beyond_64_bits(spark):
     texts = {1: "the 9223372036854775808", 2: "the 9223372036854775807", 3: "of the x " + "9" * 400, 4: "the", 5: None}
     rows = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosewright import config
+from prosewright import config, scratch
 from prosewright.functions.text import recase, strip_marks
-from prosewright.operators import compounds
+from prosewright.operators import analysis, compounds
 
 SHORTEST, SUGGESTIONS = 3, 5
 
@@ -21,11 +21,17 @@ def checkable(text: Column, lang: Column) -> Column:
     return out
 
 
+def surfaces(lexicon: DataFrame) -> DataFrame:
+    """(lang, surface) of a lexicon, once each; what they are taken from need not shuffle while they are few."""
+    known = lexicon.select("lang", "surface").distinct()
+    return scratch.by_size(known, known.count())
+
+
 def unknown_words(toks: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(lang, word, n): checkable lower-cased words outside the lexicon, by exact or lower-cased surface (JON-2), that are
-    no compounds of known words either (CMP-3)."""
-    words = toks.filter(checkable(F.col("text"), F.col("lang"))).groupBy("lang", strip_marks(F.col("text")).alias("surface")).agg(F.count("*").alias("n"))
-    known = lexicon.select("lang", "surface").distinct()
+    no compounds of known words either (CMP-3). toks are tokens or their word_counts."""
+    words = toks.filter(checkable(F.col("text"), F.col("lang"))).groupBy("lang", strip_marks(F.col("text")).alias("surface")).agg(analysis.occurrences(toks).alias("n"))
+    known = surfaces(lexicon)
     left = words.join(known, ["lang", "surface"], "left_anti").withColumn("word", F.lower("surface"))
     left = left.join(known.withColumnRenamed("surface", "word"), ["lang", "word"], "left_anti")
     left = left.groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -65,12 +71,17 @@ def suggestions(words: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 def diagnostics(toks: DataFrame, lexicon: DataFrame) -> DataFrame:
     """SPELL diagnostics (§ L1): doc_id, s, e, code, message, suggestions, source, surface."""
+    return misspelt(toks, lexicon).select("doc_id", "s", "e", "code", "message", "suggestions", "source", "surface")
+
+
+def misspelt(toks: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """The tokens, or words of word_counts, that are misspelt, with the columns of a diagnostic."""
     words = unknown_words(toks, lexicon)
     known = words.join(suggestions(words, lexicon), ["lang", "word"], "left").select("lang", "word", "suggestions")
     rows = toks.filter(checkable(F.col("text"), F.col("lang"))).withColumns({"surface": strip_marks(F.col("text")), "word": F.lower(strip_marks(F.col("text")))})
-    rows = rows.join(known, ["lang", "word"]).join(lexicon.select("lang", "surface").distinct(), ["lang", "surface"], "left_anti")
+    rows = rows.join(known, ["lang", "word"]).join(surfaces(lexicon), ["lang", "surface"], "left_anti")
     message = F.lit(config.LANGS["en"].spell_message)
     for x in config.LANGS.values():
         message = F.when(F.col("lang") == x.code, x.spell_message).otherwise(message)
     cased = F.transform(F.coalesce("suggestions", F.array().cast("array<string>")), lambda c: recase(F.col("text"), c))
-    return rows.select("doc_id", "s", "e", F.lit("SPELL").alias("code"), message.alias("message"), cased.alias("suggestions"), F.lit("Spelling").alias("source"), F.col("text").alias("surface"))
+    return rows.select(*toks.columns, F.lit("SPELL").alias("code"), message.alias("message"), cased.alias("suggestions"), F.lit("Spelling").alias("source"), F.col("text").alias("surface"))

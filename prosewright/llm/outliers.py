@@ -105,11 +105,12 @@ def chi2_quantile(q: float, df: int) -> float:
 
 
 def scatter(x: DataFrame, consistency: float) -> DataFrame:
-    """By stratum and start: n, mean and covariance, with the floors on its diagonal."""
+    """By stratum and, where x has it, start: n, mean and covariance, with the floors on its diagonal, and its factor."""
+    keys = [c for c in ("stratum", "start") if c in x.columns]
     cov = [F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"s{i}{j}") for i in P for j in range(i + 1)]
-    out = x.groupBy("stratum", "start").agg(F.count("*").alias("n"), *(F.avg(f).alias(f"m{i}") for i, f in enumerate(FEATURES)), *cov)
+    out = x.groupBy(*keys).agg(F.count("*").alias("n"), *(F.avg(f).alias(f"m{i}") for i, f in enumerate(FEATURES)), *cov)
     cells = [(F.col(f"s{i}{j}") * consistency + (FLOORS[FEATURES[i]] ** 2 if i == j else 0.0)).alias(f"s{i}{j}") for i in P for j in range(i + 1)]
-    return out.select("stratum", "start", "n", *MEANS, *cells)
+    return factored(out.select(*keys, "n", *MEANS, *cells))
 
 
 def factored(fits: DataFrame) -> DataFrame:
@@ -176,7 +177,7 @@ def starts(strata: Strata, scratch: Scratch) -> DataFrame:
     mids = scratch.table(spread(strata.points), "mids")
     curved = strata.join(strata.points, mids).select("stratum", F.inline(bent()))
     plain = mids.select("stratum", F.lit(0).alias("start"), F.lit(1).cast("long").alias("n"), *(F.col(f"c{i}").alias(f"m{i}") for i in P), *((F.pow(f"w{i}", F.lit(2.0)) if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i in P for j in range(i + 1)))
-    return scratch.table(factored(plain.unionByName(scatter(curved, 1.0))), "starts")
+    return scratch.table(factored(plain).unionByName(scatter(curved, 1.0)), "starts")
 
 
 def concentrated(strata: Strata, scratch: Scratch) -> DataFrame:
@@ -186,7 +187,7 @@ def concentrated(strata: Strata, scratch: Scratch) -> DataFrame:
     first = True
     while True:
         cut = scratch.table(strata.measured(now).groupBy("stratum", "start").agg(F.percentile_approx("d2", SHARE, 2000).alias("cut")), "cut")
-        new = factored(scatter(strata.measured(now, cut), half)).join(now.select("stratum", "start", F.col("log_det").alias("was"), F.struct(*MEANS, *CELLS, *FACTOR).alias("old")), ["stratum", "start"])
+        new = scatter(strata.measured(now, cut), half).join(now.select("stratum", "start", F.col("log_det").alias("was"), F.struct(*MEANS, *CELLS, *FACTOR).alias("old")), ["stratum", "start"])
         # the determinant of a start is not one of a share of the vectors, so the first step always counts
         falls = F.lit(True) if first else F.col("log_det") < F.col("was") + math.log(1 - STILL)
         new = scratch.table(new.withColumn("falls", falls), "step")

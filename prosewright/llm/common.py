@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 24 << 20
 #: Copies of each hot summary that is too large to broadcast.
 SALTS = 64
+#: Bits that a key has in the bitmaps of may_meet, as far as BROADCAST_BYTES hold them, and bits of one bitmap.
+MARK_BITS, BITMAP = 32, 1 << 15
 _local_folders: dict[str, str] = {}
 
 
@@ -93,6 +95,21 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str, t
     return met.join(dealt.hint("merge"), [*key, "g_salt"]).drop("g_salt").unionByName(rest)
 
 
+def may_meet(rows: DataFrame, keys: DataFrame, on: list[str], scratch: Scratch) -> DataFrame:
+    """Adds the boolean column g_meets, false only for rows that no row of keys equals in the columns on.
+
+    Keys set one bit each of bitmaps that are broadcast, so wide rows without a partner need not shuffle. Where keys pass
+    what BROADCAST_BYTES hold, more rows without one are let through; none with one is kept back.
+    """
+    bits = max(1, min(-(-keys.count() * MARK_BITS // BITMAP), BROADCAST_BYTES * 8 // BITMAP)) * BITMAP
+    cell = F.pmod(F.xxhash64(*on), F.lit(bits)).alias("g_cell")
+    bitmaps = keys.select(cell).groupBy(F.expr("bitmap_bucket_number(g_cell)").alias("g_bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(g_cell))").alias("g_bitmap"))
+    told = rows.select("*", cell).join(F.broadcast(scratch.table(bitmaps, "bitmaps")), F.expr("bitmap_bucket_number(g_cell) = g_bucket"), "left")
+    at = F.expr("cast(bitmap_bit_position(g_cell) as int)")
+    byte = F.conv(F.hex(F.substring("g_bitmap", F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return told.select(*rows.columns, F.coalesce(F.bit_get(byte, at.bitwiseAND(7)) == 1, F.lit(False)).alias("g_meets"))
+
+
 def boxed(docs: DataFrame, **keys: Column) -> DataFrame:
     """docs as one struct column g_box, beside the keys that are computed from its columns; so no name can clash."""
     whole = F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("g_box")

@@ -10,9 +10,11 @@ passages=True, as the query has it, the least runs of lines with over WORDS word
 compared in the same way. What such a run is depends on its own lines alone, so all of those inside a shared passage of
 over WORDS words, of one line or more, occur again in each of its copies, and together they cover its lines with words.
 
-Only hashes shuffle for the counts, and then the bytes of repeated chunks alone. A chunk that a large share of all
-documents holds is one key: its counts add up before the shuffle, and its occurrences meet the first one in the join
-of hot keys, by broadcast while the hot bytes are few and dealt over copies of them otherwise.
+Only hashes shuffle for the counts. Then the texts that hold a repeated chunk, found by bitmaps, shuffle once for the
+bytes of those chunks, the bytes meet the first occurrence's, and the texts that lose something shuffle once more; all
+other texts stay where they are. A chunk that a large share of all documents holds is one key: its counts add up before
+the shuffle, and its occurrences meet the first one in the join of hot keys, by broadcast while the hot bytes are few
+and dealt over copies of them otherwise.
 
 Defined results: a null text counts as empty and has no chunk; lines without a word count as lines; a chunk of one line
 stays unless it is a passage; a null doc_id sorts last among occurrences; rows equal in doc_id and text are one document
@@ -26,13 +28,12 @@ import hashlib
 from collections.abc import Iterator
 from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosewright.llm.common import Scratch, documents, join_by_size, join_groups, lean, small_batches
+from prosewright.llm.common import Scratch, documents, join_groups, lean, may_meet, small_batches
 
 WINDOW, DIVISOR, SHORTEST, LONGEST = 2, 3, 2, 16
 WORDS = 50
@@ -99,6 +100,11 @@ def split_lines(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split(b"\n") if text else []
 
 
+def signed_hash(chunk: bytes) -> int:
+    h = xxhash.xxh3_64_intdigest(chunk)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def chunks(rows: DataFrame, whole: bool) -> DataFrame:
     """(row, doc, k, h, size) of what is compared, k being its place among the ranges; h is a 64-bit hash."""
 
@@ -109,7 +115,7 @@ def chunks(rows: DataFrame, whole: bool) -> DataFrame:
                 lines = split_lines(text)
                 for k, (a, b) in enumerate(ranges(lines, whole)):
                     chunk = b"\n".join(lines[a:b])
-                    out.append((row, doc, k, np.uint64(xxhash.xxh3_64_intdigest(chunk)).astype(np.int64), len(chunk)))
+                    out.append((row, doc, k, signed_hash(chunk), len(chunk)))
             if out:
                 cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, ["row", "doc", "k", "h", "size"])
@@ -128,31 +134,36 @@ def removed_chunks(docs: DataFrame, scratch: Scratch, whole: bool) -> DataFrame:
     """(row, ks): the chunks of each row that repeat an earlier one, confirmed by their bytes."""
     rows = numbered(docs)
     seen = scratch.table(chunks(rows, whole), "chunks")
+    repeated = scratch.table(seen.groupBy("h", "size").agg(F.count("*").alias("n")).filter("n > 1").select("h", "size"), "repeated")
+    again = scratch.table(may_meet(seen, repeated, ["h", "size"], scratch).filter("g_meets").drop("g_meets"), "again")
+    scratch.drop(seen, repeated)
     place = F.struct("doc", "row", "k")
-    groups = seen.groupBy("h", "size").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
+    groups = again.groupBy("h", "size").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
     groups = scratch.table(groups, "groups")
     total = groups.agg(F.sum("n")).first()[0] or 0
-    again = scratch.table(join_groups(seen, groups, ["h", "size"], "n", total), "again")
-    return confirm(rows, again, again.count(), scratch, whole)
-
-
-def confirm(rows: DataFrame, again: DataFrame, n: int, scratch: Scratch, whole: bool) -> DataFrame:
-    """The n occurrences, less those whose bytes differ from the first one's. The bytes of repeated chunks are cut out
-    of the texts once; while the occurrences may be broadcast, the texts stay where they are."""
-    wanted = again.groupBy("row").agg(F.collect_set("k").alias("ks"))
-    cut = scratch.table(picked(join_by_size(rows, wanted, "row", "inner", n, 64), whole).distinct(), "bytes")
-    told = again.distinct().join(cut.hint("merge"), ["row", "k"])
     is_first = (F.col("first.row") == F.col("row")) & (F.col("first.k") == F.col("k"))
-    firsts = told.filter(is_first).select("h", "size", "n", F.col("chunk").alias("first_chunk"))
-    others = told.filter(~is_first).select("h", "size", "row", "k", "chunk")
-    firsts = scratch.table(firsts, "firsts")
+    met = join_groups(again, groups, ["h", "size"], "n", total).select("row", F.struct("k", "n", is_first.alias("first")).alias("k"))
+    wanted = scratch.table(met.groupBy("row").agg(F.collect_set("k").alias("ks")), "wanted")
+    scratch.drop(again, groups)
+    return confirm(rows, wanted, scratch, whole)
+
+
+def confirm(rows: DataFrame, wanted: DataFrame, scratch: Scratch, whole: bool) -> DataFrame:
+    """The wanted occurrences, less those whose bytes differ from the first one's. Only texts that hold any move, once,
+    and their bytes are cut out then and there."""
+    texts = may_meet(rows, wanted, ["row"], scratch).filter("g_meets").groupBy("row").agg(F.first("text").alias("text"))
+    cut = scratch.table(picked(texts.join(wanted.hint("merge"), "row"), whole), "bytes")
+    firsts = cut.filter("first").select("h", "size", "n", F.col("chunk").alias("first_chunk"))
+    others = cut.filter("not first").select("h", "size", "row", "k", "chunk")
     total = firsts.agg(F.sum("n")).first()[0] or 0
     same = join_groups(others, firsts, ["h", "size"], "n", total, width=F.col("size")).filter("chunk = first_chunk")
-    return scratch.table(same.groupBy("row").agg(F.array_sort(F.collect_set("k")).alias("ks")), "removed")
+    removed = scratch.table(same.groupBy("row").agg(F.array_sort(F.collect_set("k")).alias("ks")), "removed")
+    scratch.drop(cut, wanted)
+    return removed
 
 
 def picked(rows: DataFrame, whole: bool) -> DataFrame:
-    """(row, k, chunk) of the chunks ks of each row."""
+    """(row, k, h, size, n, first, chunk) of the chunks ks of each row, given as structs of k, n and first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,11 +171,14 @@ def picked(rows: DataFrame, whole: bool) -> DataFrame:
             for row, ks, text in zip(*(batch.column(c).to_pylist() for c in ("row", "ks", "text")), strict=True):
                 lines = split_lines(text)
                 spans = ranges(lines, whole)
-                out += [(row, k, b"\n".join(lines[slice(*spans[k])])) for k in ks]
+                for x in ks:
+                    chunk = b"\n".join(lines[slice(*spans[x["k"]])])
+                    out.append((row, x["k"], signed_hash(chunk), len(chunk), x["n"], x["first"], chunk))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.binary(), pa.int32(), pa.binary()), strict=True)], ["row", "k", "chunk"])
+                kinds = (pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["row", "k", "h", "size", "n", "first", "chunk"])
 
-    return rows.select("row", "ks", "text").mapInArrow(lean(run), "row binary, k int, chunk binary")
+    return rows.select("row", "ks", "text").mapInArrow(lean(run), "row binary, k int, h bigint, size bigint, n bigint, first boolean, chunk binary")
 
 
 def line_dedup(docs: DataFrame, passages: bool = False) -> DataFrame:
@@ -195,8 +209,9 @@ def line_dedup(docs: DataFrame, passages: bool = False) -> DataFrame:
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "text", "n_lines", "n_removed_lines", "n_removed_chunks", "text_sha256", "spans"])
 
-    n = gone.agg(F.sum(F.size("ks"))).first()[0] or 0
-    joined = join_by_size(rows, gone, "row", "left", n, 64).select("doc_id", "text", "ks")
+    told = may_meet(rows, gone, ["row"], scratch)
+    whole = told.filter("not g_meets").select("doc_id", "text", F.lit(None).cast("array<int>").alias("ks"))
+    joined = whole.unionByName(told.filter("g_meets").join(gone.hint("merge"), "row", "left").select("doc_id", "text", "ks"))
     return joined.mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)['doc_id']}, text string, n_lines bigint, n_removed_lines bigint, n_removed_chunks bigint, text_sha256 string, spans array<array<bigint>>")
 
 

@@ -122,6 +122,33 @@ def test_hot_chunks_beyond_the_broadcast_bound(spark, monkeypatch):
     assert run() == want and sum(r[2] for r in want) > 29
 
 
+def test_texts_without_repeats_stay_where_they_are(spark, monkeypatch):
+    from prosewright.llm import common
+
+    rng = random.Random(11)
+    line = lambda n: " ".join(f"{rng.getrandbits(64):x}" for _ in range(n))
+    twice = line(60)
+    texts = ["\n".join([line(150), *[twice] * (k in (7, 70)), line(150)]) for k in range(400)]
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 100)
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    before = written()
+    got = {r.doc_id: r.n_removed_lines for r in line_dedup.line_dedup(frame(spark, list(enumerate(texts))), passages=True).collect()}
+    assert got == {k: int(k == 70) for k in range(400)}
+    assert written() - before < 0.3 * sum(map(len, texts))
+
+
+def test_may_meet_keeps_every_partner(spark, monkeypatch):
+    from prosewright.llm import common
+
+    scratch = common.Scratch(spark, "meet")
+    rows = spark.range(40_000).withColumnRenamed("id", "a")
+    for kept, bound in ((rows.filter("a % 100 = 3"), 24 << 20), (rows.filter("a % 2 = 1"), 100), (rows.limit(0), 100)):
+        monkeypatch.setattr(common, "BROADCAST_BYTES", bound)
+        told = {r.a for r in common.may_meet(rows, kept, ["a"], scratch).filter("g_meets").collect()}
+        want = {r.a for r in kept.collect()}
+        assert want <= told and len(told - want) <= (0.05 if bound > 100 else 0.6) * 40_000 * bool(want)
+
+
 # mixing
 
 
